@@ -32,6 +32,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, size=2048)
 
 
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.sharding import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents"), leaves=40)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.bpe import round_trip
 
