@@ -45,6 +45,13 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), leaves=40)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.bpe import round_trip
 
