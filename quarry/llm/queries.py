@@ -39,6 +39,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, size=2048)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.sharding import kd_shards
 
