@@ -20,6 +20,16 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The rule list that the URL query applies before mined rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.urlfilter import judge
+
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op2_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.wavelet import token_output
 
