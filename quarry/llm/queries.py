@@ -74,6 +74,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
