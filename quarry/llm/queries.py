@@ -80,6 +80,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
 
 
+def op10_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.subspace import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
