@@ -1,9 +1,13 @@
 """All queries over the shared tables, with the SQL each must agree with."""
 
+from quarry.plans import discovery, graphs, knowledge, scoring, searching, views  # noqa: F401
+from quarry.plans.discovery import relationship_rank  # noqa: F401
+from quarry.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
