@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 
 def compress_runs(a: Column) -> Column:
@@ -54,7 +55,7 @@ def ordered_union(*arrays: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(*(F.coalesce(a, F.array().cast("array<string>")) for a in arrays)), lambda x: x.isNotNull() & (x != "")))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def longest_common_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest contiguous run that both arrays hold."""
 

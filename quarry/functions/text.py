@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Words that carry no meaning in a question.
 STOP_WORDS = "a an and are as at be by for from how in is it last of on or the to was what when where which why with want know".split()
@@ -16,7 +17,7 @@ CONTAINER_TAGS = "screen actions script if else condition iterate set".split()
 RESPONSE_TAGS = "default-response conditional-response error-response".split()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
