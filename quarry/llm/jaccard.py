@@ -13,7 +13,8 @@ into blocks, and every pair of blocks is compared inside one task that returns c
 a spanning forest, never the pairs.  So rows stay proportional to the documents while no
 link is lost to a cap.
 
-Edge cases: null and empty texts have no words, link with nothing and stand alone; equal
+Edge cases: null and empty texts have no words, link with nothing and stand alone; rows
+without an id are kept; equal
 texts are one class however many; ties in the component go to the least id; repeated rows
 count as documents; an empty table gives no rows; other columns are ignored.
 """
@@ -359,7 +360,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tol
     named = classes.select("set_hash", "n_shingles", "rep", "size").join(degrees, "rep", "left").join(roots, "rep", "left")
     rows = sig.select("doc_id", "set_hash", "n_shingles").join(named, ["set_hash", "n_shingles"], "left")
     group = F.coalesce("component", "rep", "doc_id")
-    return rows.select("doc_id", group.alias("class_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"), "n_shingles", (F.col("doc_id") == group).alias("kept"))
+    return rows.select("doc_id", group.alias("class_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"), "n_shingles", F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -169,4 +169,4 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     named = classes.join(degrees, "rep", "left").join(roots, "rep", "left")
     joined = rows.join(named, ["label", "v"], "left")
     component = F.coalesce("component", "rep", "vec_id")
-    return joined.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return joined.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
