@@ -92,26 +92,26 @@ def packets(spark, sf_dir):
 
 
 def _best(weights: str) -> str:
-    return f"b AS (SELECT packet, id, round(v, 6) AS v FROM (SELECT packet, id, {weights} AS v, row_number() OVER (PARTITION BY packet ORDER BY {weights} DESC, id) AS k FROM ({_SCORES})) WHERE k = 1)"
+    return f"b AS (SELECT packet, id, round(v + 1e-9, 6) AS v FROM (SELECT packet, id, {weights} AS v, row_number() OVER (PARTITION BY packet ORDER BY {weights} DESC, id) AS k FROM ({_SCORES})) WHERE k = 1)"
 
 
 _PASS1 = "(membership * 0.5 + coherence * 0.25 + expected_gain * 0.25)"
 
 
 @query(f"""WITH {_best(_PASS1)}, n AS (SELECT *, new_arc * 0.4 + new_business * 0.4 + new_technical * 0.2 AS v FROM ({_NOVELTY}))
-SELECT n.packet, CASE WHEN n.v > b.v THEN 'open_new_arc_candidate' ELSE 'continue_existing_arc' END AS action, CASE WHEN n.v > b.v THEN CASE WHEN new_business >= new_technical THEN 'business' ELSE 'technical' END ELSE b.id END AS target, round(greatest(n.v, b.v), 6) AS value FROM n JOIN b ON b.packet = n.packet""")
+SELECT n.packet, CASE WHEN n.v > b.v THEN 'open_new_arc_candidate' ELSE 'continue_existing_arc' END AS action, CASE WHEN n.v > b.v THEN CASE WHEN new_business >= new_technical THEN 'business' ELSE 'technical' END ELSE b.id END AS target, round(greatest(n.v + 1e-9, b.v), 6) AS value FROM n JOIN b ON b.packet = n.packet""")
 def student_policy_scout(spark, sf_dir):
-    return arcs.decide(*packets(spark, sf_dir), "scout").withColumn("value", F.round("value", 6))
+    return arcs.decide(*packets(spark, sf_dir), "scout").withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 @query(f"WITH {_best(_PASS1)} SELECT packet, 'select_arc' AS action, id AS target, v AS value FROM b")
 def student_policy_pass1(spark, sf_dir):
-    return arcs.decide(*packets(spark, sf_dir), "pass1").withColumn("value", F.round("value", 6))
+    return arcs.decide(*packets(spark, sf_dir), "pass1").withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 @query(f"WITH {_best('continuity')} SELECT packet, 'select_neighbour' AS action, id AS target, v AS value FROM b")
 def student_policy_pass2(spark, sf_dir):
-    return arcs.decide(*packets(spark, sf_dir), "pass2").withColumn("value", F.round("value", 6))
+    return arcs.decide(*packets(spark, sf_dir), "pass2").withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
