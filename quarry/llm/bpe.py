@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.hf import _byte_signs
 from quarry.llm.pretoken import BatchEncoder
+from quarry.runtime import bound_batches
 
 SHORT = 48
 NONE = np.uint32(0xFFFFFFFF)
@@ -169,7 +170,7 @@ def load(path: str) -> RankBPE:
     return RankBPE(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """(row offsets, texts) of about ``most`` code points each; null texts are empty."""
     texts: list[str] = []
     begin = held = 0
@@ -198,6 +199,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids"
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=[*part.schema.names, out])
 
+    bound_batches(df.sparkSession)
     rest = df.drop(out)
     return rest.mapInArrow(run, _ddl(rest, f"`{out}` array<int>"))
 
@@ -211,6 +213,7 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decode
             texts = [None if x is None else bpe.decode(np.array(x, np.int64)) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
+    bound_batches(df.sparkSession)
     rest = df.drop(out)
     return rest.mapInArrow(run, _ddl(rest, f"`{out}` string"))
 
@@ -224,6 +227,8 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
     what the two column operators make, without shipping ids between processes."""
     import hashlib
 
+    bound_batches(df.sparkSession)
+
     def run(batches):
         bpe = load(path)
         for batch in batches:

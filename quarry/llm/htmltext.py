@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.runtime import bound_batches
+
 DEEPEST = 400
 
 #: Element classes of the HTML standard.
@@ -310,6 +312,7 @@ def render(page: str | None) -> str | None:
 def extract(pages: DataFrame, source: str = "html", out: str = "text") -> DataFrame:
     """All columns but the page's source (and any earlier ``out``), with the visible text.
     Narrow: a batch at a time, no shuffle."""
+    bound_batches(pages.sparkSession)
     rest = pages.drop(out).withColumn(source, F.col(source).cast("string"))
     kept = [f for f in rest.schema.fields if f.name != source]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` string"])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quarry.llm import textstats
 from quarry.llm.bpe import slices
 from quarry.operators.components import connected_components
-from quarry.runtime import materialise
+from quarry.runtime import bound_batches, materialise
 
 HASHES, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probability 5e-8
 STEP = 16
@@ -103,7 +103,7 @@ def minhash(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for rows, texts in slices(batch, "text", 2 << 20):
+            for rows, texts in slices(batch, "text", 1 << 20):
                 keys, count = shingle_sets(texts, words)
                 sig = minhash(keys, count)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textstats.mix(keys + np.uint64(7)), dtype=np.uint64)])
@@ -207,7 +207,7 @@ def _sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """(rep, shingles) of the documents named; their texts alone move if those are many."""
     def run(batches):
         for batch in batches:
-            for rows, texts in slices(batch, "text", 2 << 20):
+            for rows, texts in slices(batch, "text", 1 << 20):
                 keys, count = shingle_sets(texts, words)
                 stops = np.cumsum(count)
                 sets = [np.sort(keys[a:b]).tobytes() for a, b in zip((stops - count).tolist(), stops.tolist())]
@@ -329,6 +329,7 @@ def _clusters(nodes: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """Per document: class_id (the least id that links lead to, itself included), n_links
     (other documents at the threshold or above), n_shingles, and kept (doc_id = class_id)."""
+    bound_batches(docs.sparkSession)
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialise(signatures(typed, words), "signatures")
     classes = sig.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"))

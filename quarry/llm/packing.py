@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import slices
 from quarry.llm.hf import encoder
+from quarry.runtime import bound_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
@@ -92,6 +93,7 @@ class SumOfSquares:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048) -> DataFrame:
     """A row per piece: whose it is, where it lies in its document and in which sequence."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         encode, packer = encoder(tokenizer).encode, SumOfSquares(size)

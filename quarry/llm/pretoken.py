@@ -8,6 +8,7 @@ neighbouring classes, so no regular expression runs.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 from functools import cache
@@ -60,12 +61,32 @@ def code_points(text: str) -> np.ndarray:
 
 
 def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points (polynomial over mixed code points)."""
-    size = 1 << max(12, int(len(cp)).bit_length())
-    up, down = _powers(size)
+    """A 64-bit hash of each span of code points, in order of their starts.
+
+    Polynomial over mixed code points, for groups of spans over CHUNK code points at a
+    time, so that memory beyond the texts stays fixed; a span longer than that is hashed on
+    its own."""
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        base = int(starts[k])
+        upto = int(np.searchsorted(ends, base + CHUNK, "right"))
+        if upto <= k:
+            out[k] = int.from_bytes(hashlib.blake2b(cp[base : ends[k]].tobytes(), digest_size=8).digest(), "little")
+            k += 1
+            continue
+        stop = int(ends[upto - 1])
+        out[k:upto] = _hash_group(cp[base:stop], starts[k:upto] - base, ends[k:upto] - base)
+        k = upto
+    return out
+
+
+def _hash_group(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _powers(CHUNK)
     with np.errstate(over="ignore"):
+        value = cp.astype(np.uint64)
         total = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(0x51ED)) * (cp.astype(np.uint64) | np.uint64(0xA5A50001)) * up[: len(cp)], dtype=np.uint64, out=total[1:])
+        np.cumsum((value + np.uint64(0x51ED)) * (value | np.uint64(0xA5A50001)) * up[: len(cp)], dtype=np.uint64, out=total[1:])
         out = (total[ends] - total[starts]) * down[starts]
         out += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(out)

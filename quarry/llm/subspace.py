@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.components import connected_components
-from quarry.runtime import materialise
+from quarry.runtime import bound_batches, materialise
 
 BLOCK_DIMS = 8
 TILE = 2048
@@ -157,6 +157,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """Per vector: n_links, component_id, kept."""
+    bound_batches(vectors.sparkSession)
     v = F.col("embedding").cast("array<double>")
     fine = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.when(fine, v).alias("v"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import slices
 from quarry.llm.sample import labelled
+from quarry.runtime import bound_batches
 
 WINDOW = 40
 LEVEL = 6
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_ordinar
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Per document whether it is held out, its score and the verdict."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -193,6 +195,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents not judged toxic, with all their columns, in one narrow pass."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import slices
 from quarry.llm.hf import encoder
-from quarry.runtime import scratch_path
+from quarry.runtime import bound_batches, scratch_path
 
 BLOCK = 1 << 16
 MAGIC = b"QWM1"
@@ -215,6 +215,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, segmen
         if held:
             yield row()
 
+    bound_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     dealt = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     dealt.select("doc_id", "text").mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
@@ -224,6 +225,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, segmen
 def read_digests(spark, path: str) -> DataFrame:
     """Per document, from the files: where its ids start among all, how many they are, and
     their checksum.  Only a total per shard reaches the driver."""
+    bound_batches(spark)
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     totals = files.select("shard", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).collect()
     begin, start = {}, 0
