@@ -40,8 +40,8 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bound the bytes of a batch that goes to a Python worker, for this session: rows may
     be long, and a batch of 10,000 of them needn't fit in memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "")
-    if not now.isdigit() or int(now) > most:
+    now = "".join(c for c in spark.conf.get(key) if c.isdigit())
+    if not now or int(now) > most:
         spark.conf.set(key, most)
 
 
