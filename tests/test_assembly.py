@@ -34,8 +34,8 @@ def test_packets(spark):
 
 
 def test_qualified_names(spark):
-    services = spark.createDataFrame([(1, "place#Order", "svc/mantle/order/OrderServices.xml"), (2, "place#Order", "other/OrderServices.xml"), (3, "place#Order", "x/Else.xml")], "id int, name string, path string")
-    refs = spark.createDataFrame([(1, "mantle.order.OrderServices.place#Order"), (2, "place#Order")], "ref int, name string")
+    services = spark.createDataFrame([(1, "place#Order", "svc/shop/order/OrderServices.xml"), (2, "place#Order", "other/OrderServices.xml"), (3, "place#Order", "x/Else.xml")], "id int, name string, path string")
+    refs = spark.createDataFrame([(1, "shop.order.OrderServices.place#Order"), (2, "place#Order")], "ref int, name string")
     assert sorted(map(tuple, assembly.resolve_services(refs, services).collect())) == [(1, 1, 110), (1, 2, 10)]
     screens = spark.createDataFrame([(1, "app/screen/Home.xml"), (2, "screen/Edit.xml"), (3, "z/Only.xml")], "id int, path string")
     urls = ["../screen/Home?x=1", "Edit", "q/Only.xml", "${x}/Home", "https://x/Home", "Gone"]
