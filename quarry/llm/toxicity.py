@@ -28,7 +28,7 @@ from quarry.llm.bpe import slices
 from quarry.llm.sample import labelled
 from quarry.runtime import bound_batches
 
-WINDOW = 40
+WINDOW = 96
 LEVEL = 6
 LOWEST, HIGHEST = -4, 12
 
@@ -128,7 +128,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], dictionary_bytes: int = 16384, share: float | None = None) -> Model:
+def train(toxic: list[str], ordinary: list[str], dictionary_bytes: int = 65536, share: float | None = None) -> Model:
     """``share``: of toxic texts where the scores are to be used, for the logistic's bias;
     None: as in the training rows."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))  # copies teach nothing
