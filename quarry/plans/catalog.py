@@ -1,6 +1,6 @@
 """All queries over the shared tables, with the SQL each must agree with."""
 
-from quarry.plans import deciding, discovery, graphs, knowledge, scoring, searching, views  # noqa: F401
+from quarry.plans import deciding, discovery, graphs, knowledge, projecting, scoring, searching, views  # noqa: F401
 from quarry.plans.discovery import relationship_rank  # noqa: F401
 from quarry.plans.registry import QUERIES, SQL
 
