@@ -112,7 +112,8 @@ def build(meta: DataFrame, dimensions: int, leaves: int, bins: int, tolerance: f
         for n in level:
             n.left, n.right = len(tree), len(tree) + 1
             tree[n.left], tree[n.right] = Node(n.left, n.leaves // 2), Node(n.right, n.leaves - n.leaves // 2)
-        placed = _step(placed, level, dimensions)
+        # Written once a level: each pass then plans and reads one thin table.
+        placed = materialise(_step(placed, level, dimensions), "kd-level")
         weights = dict(placed.groupBy("node").agg(F.sum("size")).collect())
         level = [tree[i] for n in level for i in (n.left, n.right)]
         for n in level:
@@ -131,7 +132,7 @@ def _pass(placed: DataFrame, searches: list[Search], dimensions: int, bins: int,
     key = F.when(F.col("part") == 0, v).when(F.col("part") == 1, F.col("t")).otherwise(F.col("u"))
     held = (F.col("part") == 0) | ((v == F.col("f0")) & ((F.col("part") == 1) | (F.col("t") == F.col("f1"))))
     inside = placed.join(wanted, "node").where(held).withColumn("key", key).where(F.col("key").between(F.col("lo"), F.col("hi")))
-    rows = inside.groupBy("slot", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("w"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+    rows = inside.groupBy("slot", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
     left = []
     for k, s in enumerate(searches):
         own, before = sorted((r for r in rows if r.slot == k), key=lambda r: r.lo), 0
@@ -139,8 +140,9 @@ def _pass(placed: DataFrame, searches: list[Search], dimensions: int, bins: int,
         while at < len(own) - 1 and before + own[at].w <= s.need:
             before, at = before + own[at].w, at + 1
         r = own[at]
-        # The cut may stand before this bin or after it; within it only if it is heavy.
-        if r.w <= least or (s.part == 1 and r.lo == r.hi and r.w <= group) or (s.part == 2 and r.lo == r.hi):
+        # The cut may stand before this bin or after it; within it only if it is heavy and
+        # holds several rows.
+        if r.w <= least or r.n == 1 or (s.part == 1 and r.lo == r.hi and r.w <= group) or (s.part == 2 and r.lo == r.hi):
             after = s.need - before > r.w / 2
             s.node.cut = (*s.fixed, r.hi + 1 if after else r.lo)
         elif r.lo == r.hi:
