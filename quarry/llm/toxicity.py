@@ -1,12 +1,13 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-One dictionary is trained on ordinary text.  The other holds that same content and, before
-it, segments trained on toxic text: word beginnings that cover many words of toxic training
-texts and hardly occur in ordinary ones.  A text is cut into short windows; how much
-shorter a window compresses with the toxic dictionary is a small whole number, nearly
-always 0 in ordinary text.  Training windows give each difference its log odds; a text's
-evidence is the sum over its windows, and a logistic fit on training texts turns evidence
-into a score in [0, 1].
+One dictionary is trained on windows of ordinary text.  The other holds that same content
+and, before it, a dictionary trained on toxic text: on the passages whose byte n-grams are
+significantly more frequent in toxic texts than in ordinary ones.  A text is cut into short
+windows; how much shorter a window compresses with the toxic dictionary is a small whole
+number, nearly always 0 in ordinary text.  Training windows give each difference its log
+odds, of either sign; a text's evidence is the sum over its windows, and a logistic fit on
+training texts turns evidence into a score in [0, 1].  Odds and fit only see texts that the
+dictionaries they are measured with were not trained on.
 
 Only texts enter a score.  Edge cases: null and empty texts have no windows and get the
 score of no evidence; without toxic and ordinary training rows every score is 0; very long
@@ -15,7 +16,6 @@ texts are read whole, window by window; equal texts get equal scores.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +31,10 @@ from quarry.runtime import bound_batches
 WINDOW = 96
 LEVEL = 6
 LOWEST, HIGHEST = -4, 12
+GRAMS = 4, 6
+SHINGLE = 24
+_BITS = 22
+TOXIC_BYTES = 4096
 
 
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
@@ -46,40 +50,95 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
     return out
 
 
-def toxic_segments(toxic: list[str], ordinary: list[str], most: int = 64, contrast: float = 40.0, least: float = 0.015) -> list[bytes]:
-    """Word beginnings, chosen greedily by the toxic words they newly cover.
-
-    One qualifies if its share of toxic texts is ``contrast`` times its (smoothed) share of
-    ordinary ones.  Of those that cover nearly as much as the best, the longest is taken."""
-    bad, good = Counter(), Counter()
-    held: dict[bytes, Counter] = {}
-    for texts, count in ((toxic, bad), (ordinary, good)):
-        for text in texts:
-            seen = set()
-            for word in set(text.lower().encode("utf-8", "replace").split()):
-                word = word.strip(b".,;:!?\"'()")
-                seen.update(word[:k] for k in range(4, min(len(word), 16) + 1))
-            count.update(seen)
-    fit = {p for p, n in bad.items() if n >= max(3, least * len(toxic)) and n / len(toxic) >= contrast * (good[p] + 0.5) / max(1, len(ordinary))}
-    for k, text in enumerate(toxic):
-        for word in set(text.lower().encode("utf-8", "replace").split()):
-            word = word.strip(b".,;:!?\"'()")
-            for n in range(4, min(len(word), 16) + 1):
-                if word[:n] in fit:
-                    held.setdefault(word[:n], Counter())[(k, word)] = 1
-    out: list[bytes] = []
-    left = {p: set(c) for p, c in held.items()}
-    while left and len(out) < most:
-        top = max(len(v) for v in left.values())
-        if top < max(3, least * len(toxic)):
-            break
-        best = max((p for p, v in left.items() if len(v) >= 0.9 * top), key=lambda p: (len(p), len(left[p]), p))
-        covered = left.pop(best)
-        out.append(best)
-        left = {p: rest for p, v in left.items() if (rest := v - covered)}
+def _data(text: str) -> bytes:
+    return b" " + text.lower().encode("utf-8", "replace") + b" "
+
+
+def _codes(data: bytes, n: int) -> np.ndarray:
+    """A hash of the n bytes at each position."""
+    at = np.frombuffer(data, np.uint8).astype(np.uint64)
+    size = max(0, len(at) - n + 1)
+    code = np.zeros(size, np.uint64)
+    for k in range(n):
+        code = code * np.uint64(1099511628211) + at[k : k + size]
+    return (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def groups(texts: list[str], bands: int = 8, each: int = 5) -> list[list[str]]:
+    """The texts in groups of near copies: equal in one band of MinHashes and in half of all."""
+    rng = np.random.default_rng(7)
+    by = rng.integers(1, 1 << 63, bands * each, np.uint64) | np.uint64(1)
+    of: list[int] = []
+    kept: list[np.ndarray] = []
+    seen: dict[tuple, int] = {}
+    for text in texts:
+        data = _data(text)
+        codes = np.unique(_codes(data, min(SHINGLE, len(data)))).astype(np.uint64)
+        sketch = np.array([(codes * m).min() for m in by], np.uint64)
+        keys = [(k, sketch[k * each : (k + 1) * each].tobytes()) for k in range(bands)]
+        near = next((g for key in keys if (g := seen.get(key)) is not None and 2 * (kept[g] == sketch).sum() >= len(by)), None)
+        if near is None:
+            near = len(kept)
+            kept.append(sketch)
+        of.append(near)
+        for key in keys:
+            seen.setdefault(key, near)
+    out: list[list[str]] = [[] for _ in kept]
+    for g, text in zip(of, texts, strict=True):
+        out[g].append(text)
     return out
 
 
+def _contrast(ordinary: list[list[str]], toxic: list[list[str]], n: int, ratio: float) -> np.ndarray:
+    """Per hashed n-gram the likelihood ratio (G squared) of its shares of the toxic and the
+    ordinary groups; 0 where the toxic share is less than ``ratio`` times the ordinary one."""
+    held = []
+    for part in (ordinary, toxic):
+        count = np.zeros(1 << _BITS, np.float32)
+        for group in part:
+            count[np.unique(np.concatenate([_codes(_data(t), n) for t in group]))] += 1
+        held.append(count)
+    out = np.zeros(1 << _BITS, np.float32)
+    share = len(toxic) / (len(ordinary) + len(toxic))
+    at = np.flatnonzero(held[1] * len(ordinary) > ratio * held[0] * len(toxic))
+    o, t = held[0][at].astype(np.float64), held[1][at].astype(np.float64)
+
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-9)), 0)
+
+    et, eo = (o + t) * share, (o + t) * (1 - share)
+    out[at] = 2 * (part(t, et) + part(o, eo) + part(len(toxic) - t, len(toxic) - et) + part(len(ordinary) - o, len(ordinary) - eo))
+    return out
+
+
+def toxic_passages(ordinary: list[list[str]], toxic: list[list[str]], least: float = 25.0, ratio: float = 5.0) -> list[bytes]:
+    """All runs of toxic texts that are covered by n-grams whose contrast is over ``least``,
+    about 5 standard deviations.  Runs are bytes, so scripts without spaces have them too.
+    Near copies, given as groups, are counted once."""
+    texts = [t for group in toxic for t in group]
+    marks = [np.zeros(len(_data(t)) + 1, np.int32) for t in texts]
+    for n in GRAMS:
+        high = _contrast(ordinary, toxic, n, ratio) > least
+        for text, mark in zip(texts, marks, strict=True):
+            at = np.flatnonzero(high[_codes(_data(text), n)])
+            mark[at] += 1
+            mark[at + n] -= 1
+    out = []
+    for text, mark in zip(texts, marks, strict=True):
+        data, inside = _data(text), np.cumsum(mark) > 0
+        edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
+        out += [data[i:j] for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    return out
+
+
+def trained(size: int, samples: list[bytes], **how) -> bytes:
+    """A dictionary of at most ``size`` bytes."""
+    try:
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on
+        return b" ".join(dict.fromkeys(samples))[-size:]
+
+
 @dataclass
 class Model:
     ordinary: bytes = b""
@@ -95,8 +154,10 @@ class Model:
 
             def one(content: bytes):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=LEVEL)
-                return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+                # Matches of 3 bytes and optimal parsing, so that words of few letters count.
+                how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+                d.precompute_compress(compression_params=how)
+                return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
 
             self._press = one(self.ordinary), one(self.toxic)
         return self._press
@@ -124,36 +185,34 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(h, x.T @ (p - y) + 1e-3 * w), -2, 2)
+        step = np.linalg.solve(h, x.T @ (p - y) + 1e-3 * w)
+        w -= step * min(1, 2 / max(np.abs(step).max(), 1e-9))  # shortened, not bent
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], dictionary_bytes: int = 65536, share: float | None = None) -> Model:
+def dictionaries(ordinary: list[list[str]], toxic: list[list[str]], dictionary_bytes: int = 65536, toxic_bytes: int = TOXIC_BYTES) -> Model:
+    """A model with trained dictionaries and no odds yet."""
+    samples = [w for group in ordinary for t in group for w in windows(t, 64)]
+    base = trained(dictionary_bytes, samples[:: max(1, len(samples) // 60_000)], level=3)
+    passages = toxic_passages(ordinary, toxic)
+    return Model(base, trained(toxic_bytes, passages, k=24, d=8, level=3) + b" " + base) if passages else Model(base, base)
+
+
+def train(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
     """``share``: of toxic texts where the scores are to be used, for the logistic's bias;
     None: as in the training rows."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))  # copies teach nothing
     if not toxic or not ordinary:
         return Model()
-    # Half of the texts train the dictionaries, the other half the odds and the fit.
-    learn = ordinary[::2], toxic[::2]
-    tune = ordinary[1::2] or ordinary, toxic[1::2] or toxic
-    samples = [w for t in learn[0] for w in windows(t, 64)]
-    samples = samples[:: max(1, len(samples) // 60_000)]
-    try:
-        base = zstandard.train_dictionary(dictionary_bytes, samples, level=3).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        base = b"".join(samples)[-dictionary_bytes:]
-    segments = toxic_segments(toxic, ordinary)
-    if not segments:
+    toxic, ordinary = groups(toxic), groups(ordinary)
+    # Half of the groups train the dictionaries, the other half the odds and the fit.
+    model = dictionaries(ordinary[::2], toxic[::2])
+    if model.toxic == model.ordinary:  # no passage stands out
         return Model()
-    model = Model(base, b" " + b" ".join(reversed(segments)) + b" " + base)
-    differences = [[model.differences(t) for t in part] for part in tune]
+    differences = [[model.differences(t) for group in part[1::2] or part for t in group] for part in (ordinary, toxic)]
     size = HIGHEST - LOWEST + 1
     seen = [np.bincount(np.concatenate(d), minlength=size) + 0.5 for d in differences]
-    odds = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
-    odds -= odds[-LOWEST]  # windows without a difference say nothing, however many
-    odds[: 1 - LOWEST] = 0
-    model.odds = np.maximum(odds, 0)
+    model.odds = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     x = np.concatenate([model.evidence(d) for d in differences])
     y = np.concatenate([np.zeros(len(differences[0])), np.ones(len(differences[1]))])
     weights = _logistic(x, y)

@@ -118,6 +118,33 @@ def test_toxicity(spark):
     assert toxicity.score(docs, nothing).agg({"score": "max"}).first()[0] == 0
 
 
+def test_toxicity_of_short_words_many_words_and_scripts_without_spaces():
+    rng = random.Random(5)
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    letters = "bcdfghjklmnprstvwz"
+    bad = {"short": ["zog", "vix", "kwu"], "many": ["".join(rng.choices(letters, k=9)) for _ in range(100)], "unspaced": ["\u9f98\u9f97\u9f96", "\u9f95\u9f94\u9f93"]}
+
+    def text(kind, toxic):
+        w = rng.choices(han, k=300) if kind == "unspaced" else prose(rng, 120).split(" ")
+        for _ in range(6 * toxic):
+            w[rng.randrange(len(w))] = rng.choice(bad[kind])
+        return ("" if kind == "unspaced" else " ").join(w)
+
+    for kind in bad:
+        texts = [[text(kind, y) for _ in range(n)] for y, n in ((0, 900), (1, 450))]
+        model = toxicity.train(texts[1][:400], texts[0][:800])
+        scores = [model.scores(t[n:]) for t, n in ((texts[0], 800), (texts[1], 400))]
+        assert (scores[1] >= 0.3).mean() > 0.9 and (scores[0] >= 0.3).mean() < 0.1, kind
+
+
+def test_near_copies_are_one_group():
+    rng = random.Random(3)
+    texts = [prose(rng, 150) for _ in range(20)]
+    copies = [t + " indeed" for t in texts[:5]]
+    assert sorted(map(len, toxicity.groups(texts + copies))) == [1] * 15 + [2] * 5
+    assert toxicity.groups([]) == [] and toxicity.groups(["", "ab"]) == [[""], ["ab"]]
+
+
 def test_window_bytes_are_all_of_a_text():
     for t in ("", " ", "abc", "word " * 50, "x" * 500, "Ünï çode " * 30):
         parts = toxicity.windows(t)
