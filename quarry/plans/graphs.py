@@ -162,7 +162,7 @@ _ROLES = """SELECT conv_id AS id, list(role || ':' || left(text, 1) ORDER BY tur
 
 
 def role_paths(spark, sf_dir):
-    """Distinct token sequences of conversations, the least conversation standing for each."""
+    """Per conversation its turns in order, each as the role and the first character."""
     c = table(spark, sf_dir, "conversations")
     rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.substring("text", 1, 1)).alias("x"))))
     return c.groupBy(F.col("conv_id").alias("id")).agg(F.transform(rows, lambda r: r.x).alias("tokens"))
@@ -179,7 +179,24 @@ def overlap_shape(spark, sf_dir):
     return families.overlap_pairs(role_paths(spark, sf_dir)).drop("ratio")
 
 
+def turn_paths(conversations):
+    """Per conversation its turns in order, each as the role and a hash of the whole text."""
+    said = F.concat_ws(":", "role", F.coalesce(F.sha2("text", 256), F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct("turn", said.alias("x"))))
+    return conversations.groupBy(F.col("conv_id").alias("id")).agg(F.transform(rows, lambda r: r.x).alias("tokens"))
+
+
+def families_of(conversations):
+    """Families of conversations; of equal ones the least takes part and the others follow it."""
+    whole = turn_paths(conversations)
+    same = F.sha2(F.concat_ws("\x1e", "tokens"), 256)
+    groups = whole.groupBy(same.alias("same")).agg(F.min_by("tokens", "id").alias("tokens"), F.min("id").alias("least"))
+    found = families.path_families(groups.select(F.col("least").alias("id"), "tokens", (-F.size("tokens")).alias("rank")))
+    members = whole.select("id", same.alias("same")).join(groups.select("same", "least"), "same")
+    relation = F.when(F.col("m.id") == F.col("f.id"), F.col("f.relation")).otherwise("duplicate")
+    return members.alias("m").join(found.alias("f"), F.col("m.least") == F.col("f.id")).select("m.id", "f.family", relation.alias("relation"))
+
+
 @query()
 def path_families(spark, sf_dir):
-    p = role_paths(spark, sf_dir)
-    return families.path_families(p.withColumn("rank", -F.size("tokens")))
+    return families_of(table(spark, sf_dir, "conversations"))

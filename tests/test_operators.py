@@ -310,3 +310,12 @@ def test_streaming_state_equals_the_fold(spark, tmp_path):
     for _, u, v in rows:
         want[u] = max(want.get(u, 0.0) * 0.96, v / 100)
     assert {r.user_id: round(r.opportunity, 9) for r in out.collect()} == {u: round(v, 9) for u, v in want.items()}
+
+
+def test_conversation_families_read_whole_texts(spark):
+    from quarry.plans import graphs
+
+    talks = {1: ["apple", "bear", "cat"], 2: ["ant", "bird", "cow"], 3: ["apple", "bear", "cat"], 4: ["apple", "bear", "crow"]}
+    rows = [(c, k, "user", text) for c, texts in talks.items() for k, text in enumerate(texts)]
+    got = {r.id: (r.family, r.relation) for r in graphs.families_of(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == {1: (1, "representative"), 2: (2, "representative"), 3: (1, "duplicate"), 4: (1, "branch")}
