@@ -13,10 +13,15 @@ into blocks, and every pair of blocks is compared inside one task that returns c
 a spanning forest, never the pairs.  So rows stay proportional to the documents while no
 link is lost to a cap.
 
-Edge cases: null and empty texts have no words, link with nothing and stand alone; rows
-without an id are kept; equal
-texts are one class however many; ties in the component go to the least id; repeated rows
-count as documents; an empty table gives no rows; other columns are ignored.
+Classes carry numbers of their own, so ids may be null or repeat.  A document is a pair of
+id and text: rows that repeat both share a verdict, and ``keep_one`` keeps one of them; rows
+that share an id but not the text are judged apart.  A group's class_id is its least id, null
+ids last (so it is null only if all are); kept is the document of that id, of the least text
+hash where several have it.
+
+Edge cases: null and empty texts have no words, link with nothing and stand alone, each row
+kept; equal texts are one class however many; every row counts in n_links; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +37,15 @@ from pyspark.sql import functions as F
 
 from quarry.llm import textstats
 from quarry.llm.bpe import slices
+from quarry.llm.forest import unite
 from quarry.operators.components import connected_components
-from quarry.runtime import bound_batches, materialise
+from quarry.runtime import bound_batches, discard, materialise
 
 HASHES, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probability 5e-8
 STEP = 16
 SMALL = 32
-BLOCK = 384
+BLOCK, BLOCK_BYTES = 384, 32 << 20
+HEAVY = 10_000
 BROADCAST_IDS = 1_000_000
 
 
@@ -110,9 +117,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 stops = np.cumsum(count)
                 with np.errstate(over="ignore"):
                     whole = (total[stops] - total[stops - count]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows.start : rows.stop], pa.array(whole), pa.array(count), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "set_hash", "n_shingles", "sig"])
+                own = batch.slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("code"), pa.array(whole), pa.array(count), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "code", "set_hash", "n_shingles", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, set_hash long, n_shingles long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, code long, set_hash long, n_shingles long, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -204,17 +212,19 @@ def _prune(pairs: DataFrame, classes: DataFrame, threshold: float, tolerance: fl
 
 
 def _sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of the documents named; their texts alone move if those are many."""
+    """(rep, shingles) of the documents named by (rep, doc_id, code); their texts alone move
+    if those are many."""
     def run(batches):
         for batch in batches:
             for rows, texts in slices(batch, "text", 1 << 20):
                 keys, count = shingle_sets(texts, words)
                 stops = np.cumsum(count)
                 sets = [np.sort(keys[a:b]).tobytes() for a, b in zip((stops - count).tolist(), stops.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows.start : rows.stop], pa.array(sets, pa.binary())], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep")[rows.start : rows.stop], pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     few = needed.count() <= BROADCAST_IDS
-    own = docs.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
+    named = (F.broadcast(needed) if few else needed).select("rep", F.col("doc_id").alias("id"), F.col("code").alias("own"))
+    own = docs.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("code") == F.col("own"))).select("rep", "text")
     return own.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
@@ -268,13 +278,6 @@ def compare_blocks(ids, weight, sig, sets, side, same: bool, threshold: float, t
     left = np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     need = least_matches(threshold, tolerance)
     for a in range(0, len(left), 128):
         rows = left[a : a + 128]
@@ -297,19 +300,16 @@ def compare_blocks(ids, weight, sig, sets, side, same: bool, threshold: float, t
         x, y = rows[i[close]], right[j[close]]
         np.add.at(links, x, weight[y])
         np.add.at(links, y, weight[x])
-        for p, q in zip(x.tolist(), y.tolist()):
-            p, q = find(p), find(q)
-            if p != q:
-                if ids[p] > ids[q]:
-                    p, q = q, p
-                root[q] = p
-    return links, np.array([find(k) for k in range(len(ids))], np.int64)
+        unite(root, x, y)
+    return links, root
 
 
 def _clusters(nodes: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(node, n, root): links within big buckets' components, block pair by block pair."""
-    sizes = nodes.groupBy("component").agg(F.count("*").alias("m"))
-    rows = nodes.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    weighed = nodes.join(sets.select(F.col("rep").alias("node"), F.octet_length("shingles").alias("bytes")), "node")
+    sizes = weighed.groupBy("component").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = nodes.join(sizes, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.join(classes.select(F.col("rep").alias("node"), "size", "sig"), "node").join(sets.withColumnRenamed("rep", "node"), "node")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "sig", "shingles")
 
@@ -326,14 +326,15 @@ def _clusters(nodes: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
     return dealt.groupBy("component", "i", "j").applyInArrow(run, "node long, n long, root long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """Per document: class_id (the least id that links lead to, itself included), n_links
-    (other documents at the threshold or above), n_shingles, and kept (doc_id = class_id)."""
+def _judged(docs: DataFrame, words: int, threshold: float, tolerance: float) -> DataFrame:
+    """(doc_id, code, class_id, n_links, n_shingles, kept): code is a hash of the text."""
     bound_batches(docs.sparkSession)
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("code"))
     sig = materialise(signatures(typed, words), "signatures")
-    classes = sig.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"))
-    classes = materialise(classes, "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "code")
+    classes = sig.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min(first).alias("least"), F.count("*").alias("size"), F.first("sig").alias("sig"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = materialise(_bucket_pairs(_bands(classes)), "candidates")
     stars = found.where("star").select("a", "b")
     pairs = found.where("NOT star").select("a", "b")
@@ -343,30 +344,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tol
         near = lambda side: nodes.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         pairs = pairs.join(near("a"), "a", "left").join(near("b"), "b", "left").where("NOT (ca <=> cb) OR ca IS NULL").select("a", "b")
     pairs = materialise(_prune(pairs, classes, threshold, tolerance), "survivors")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
     if hot:
-        needed = needed.unionByName(nodes.select(F.col("node").alias("doc_id")))
-    sets = materialise(_sets_of(typed, materialise(needed.distinct(), "needed"), words), "sets")
+        needed = needed.unionByName(nodes.select(F.col("node").alias("rep")))
+    needed = materialise(needed.distinct().join(classes, "rep").select("rep", "least.doc_id", "least.code"), "needed")
+    sets = materialise(_sets_of(typed, needed, words), "sets")
     links = materialise(_verify(pairs, sets, threshold), "links")
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     weights = classes.select(F.col("rep").alias("other"), "size")
     degrees = ends.join(weights, "other").select("node", F.col("size").alias("n"))
-    edges = links
+    edges, spent = links, [found, pairs, needed, sets, links]
     if hot:
         inside = materialise(_clusters(nodes, classes, sets, threshold, tolerance), "inside")
         degrees = degrees.unionByName(inside.select("node", "n"))
         edges = edges.unionByName(inside.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        spent += [nodes, inside]
     degrees = degrees.groupBy(F.col("node").alias("rep")).agg(F.sum("n").alias("n"))
     roots = connected_components(edges).select(F.col("node").alias("rep"), "component")
-    named = classes.select("set_hash", "n_shingles", "rep", "size").join(degrees, "rep", "left").join(roots, "rep", "left")
-    rows = sig.select("doc_id", "set_hash", "n_shingles").join(named, ["set_hash", "n_shingles"], "left")
-    group = F.coalesce("component", "rep", "doc_id")
-    return rows.select("doc_id", group.alias("class_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"), "n_shingles", F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of near duplicates, with all columns; rows that repeat an
-    id share its fate."""
-    judged = near_duplicates(docs, **options)
-    gone = judged.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    grouped = classes.drop("sig").join(degrees, "rep", "left").join(roots, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    grouped = materialise(grouped, "grouped")
+    heads = grouped.groupBy("component").agg(F.min("least").alias("head"))
+    named = materialise(grouped.join(heads, "component").select("set_hash", "n_shingles", "size", "head", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links")), "named")
+    discard(*spent, classes, grouped)
+    rows = sig.drop("sig")
+    alone = rows.where("n_shingles = 0").select("doc_id", "code", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles", F.lit(True).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("code") == F.col("head.code"))
+    spread = _spread_join(rows.where("n_shingles > 0"), named)
+    return spread.select("doc_id", "code", F.col("head.doc_id").alias("class_id"), "n_links", "n_shingles", kept.alias("kept")).unionByName(alone)
+
+
+def _spread_join(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with their class.  Classes of over ``HEAVY`` rows, few by that bound, go to the
+    rows; the others meet them in a shuffle."""
+    key = ["set_hash", "n_shingles"]
+    heavy = named.where(F.col("size") > HEAVY)
+    if not 0 < heavy.count() <= BROADCAST_IDS:
+        return rows.join(named, key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(named.where(F.col("size") <= HEAVY), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """Per row: class_id (the least id that links lead to, its own included), n_links (other
+    rows at the threshold or above), n_shingles, and kept (one document of each group)."""
+    return _judged(docs, words, threshold, tolerance).drop("code")
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """One document of each group of near duplicates, with all columns."""
+    judged = materialise(_judged(docs, words, threshold, tolerance).select("doc_id", "code", "n_shingles", "kept"), "judged")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("own"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("code"))
+    stay = rows.join(judged.where("NOT kept").select("doc_id", "code").distinct(), same, "left_anti")
+    again = judged.where("kept AND n_shingles > 0").groupBy("doc_id", "code").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():  # of rows that repeat a kept document, one
+        again = materialise(again, "repeated")
+        once = stay.join(again, same, "left_semi").groupBy("id", "own").agg(F.first("row").alias("row"))
+        stay = stay.join(again, same, "left_anti").select("row").unionByName(once.select("row"))
+    return stay.select("row.*")
