@@ -1,19 +1,21 @@
 """K-d tree partitioning into shards of near equal bytes, with built-in functions only.
 
-The rows' metadata (not their texts) are written once.  A node that is to become k leaves
+The rows' metadata (not their texts) are written once, and the tree is built over one row
+for each different text.  A node that is to become k leaves
 is split along its widest dimension, at the weighted quantile floor(k/2)/k of its bytes
 (the weighted median where k is even), until every node is one leaf of the target bytes.
 
 Quantiles come from distributed histograms: one aggregate per pass for all nodes of a
 level, of at most ``bins`` rows a node, narrows each node's interval to the bin that holds
-the quantile, until that bin weighs less than ``tolerance`` of a shard.  Rows with equal
-values are told apart by a hash of their text, so copies stay together; only a group of
-copies that weighs over ``group_tolerance`` of a shard is split, by a hash of the row.
-The driver sees bins, never rows.
-
-Edge cases: null texts weigh nothing beside the fixed cost; null metadata sort first; equal
-rows are split like a group of copies; an empty table gives no rows; other columns of the
-input are ignored, whatever they are called.
+the quantile, until that bin weighs less than ``tolerance`` of a shard.  Metadata belong to a text: rows of one text take the least of them.  Rows with equal values
+are told apart by a hash of their text, and a cut never runs through equal texts, so a group
+of copies is always in one shard.  Shards are as near in bytes as that allows: a cut misses
+its quantile by half of the group there at most, and a group that outweighs a shard makes its
+shard that heavy and leaves others lighter, or empty.  The driver sees bins, never rows.
+
+Edge cases: null texts weigh nothing beside the fixed cost and are a group; null metadata
+sort first; equal rows are a group; an empty table gives no rows; other columns of the input
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.runtime import materialise
+from quarry.runtime import discard, materialise
 
 OVERHEAD = 16
 GRID = 1 << 40
+HEAVY = 10_000
+BROADCAST_TEXTS = 1_000_000
 
 
 def text_code(c: Column) -> Column:
@@ -60,10 +64,10 @@ class Search:
 
     node: Node
     need: float  # bytes that should still go left of the interval's inside
-    part: int = 0  # 0: dimension, 1: text hash, 2: row hash
+    part: int = 0  # 0: dimension, 1: text hash
     lo: int = 0
     hi: int = 0
-    fixed: tuple = ()
+    fixed: int | None = None
 
 
 WIDEST_HASH = 1 << 62
@@ -85,15 +89,15 @@ def _dimension(dimensions: int) -> Column:
 
 def _step(placed: DataFrame, nodes: list[Node], dimensions: int) -> DataFrame:
     """Move the rows of split nodes to their children; other rows stay."""
-    cuts = _values(placed, "node, dim, c0, c1, c2, to_left, to_right", [(n.id, n.dimension, *(*n.cut, None, None)[:3], n.left, n.right) for n in nodes])
+    cuts = _values(placed, "node, dim, c0, c1, to_left, to_right", [(n.id, n.dimension, *(*n.cut, None)[:2], n.left, n.right) for n in nodes])
     v = _dimension(dimensions)
-    less = (v < F.col("c0")) | ((v == F.col("c0")) & ((F.col("t") < F.col("c1")) | ((F.col("t") == F.col("c1")) & (F.col("u") < F.col("c2")))))
+    less = (v < F.col("c0")) | ((v == F.col("c0")) & (F.col("t") < F.col("c1")))
     to = F.when(F.col("to_left").isNull(), F.col("node")).when(F.coalesce(less, F.lit(False)), F.col("to_left")).otherwise(F.col("to_right"))
-    return placed.join(cuts, "node", "left").withColumn("next", to).drop("node", "dim", "c0", "c1", "c2", "to_left", "to_right").withColumnRenamed("next", "node")
+    return placed.join(cuts, "node", "left").withColumn("next", to).drop("node", "dim", "c0", "c1", "to_left", "to_right").withColumnRenamed("next", "node")
 
 
-def build(meta: DataFrame, dimensions: int, leaves: int, bins: int, tolerance: float, group_tolerance: float) -> tuple[dict[int, Node], DataFrame]:
-    """The tree over rows (size, v0.., t, u), all long, and the rows with their leaf's node."""
+def build(meta: DataFrame, dimensions: int, leaves: int, bins: int, tolerance: float) -> tuple[dict[int, Node], DataFrame]:
+    """The tree over rows (size, v0.., t), all long, and the rows with their leaf's node."""
     tree = {0: Node(0, leaves)}
     level = [tree[0]]
     placed = meta.withColumn("node", F.lit(0).cast("long"))
@@ -108,12 +112,14 @@ def build(meta: DataFrame, dimensions: int, leaves: int, bins: int, tolerance: f
             n.dimension = max(range(dimensions), key=lambda d: (b[f"hi{d}"] - b[f"lo{d}"], -d))
             searches.append(Search(n, n.weight * (n.leaves // 2) / n.leaves, 0, b[f"lo{n.dimension}"], b[f"hi{n.dimension}"]))
         while searches:
-            searches = _pass(placed, searches, dimensions, bins, target * tolerance, target * group_tolerance)
+            searches = _pass(placed, searches, dimensions, bins, target * tolerance)
         for n in level:
             n.left, n.right = len(tree), len(tree) + 1
             tree[n.left], tree[n.right] = Node(n.left, n.leaves // 2), Node(n.right, n.leaves - n.leaves // 2)
         # Written once a level: each pass then plans and reads one thin table.
-        placed = materialise(_step(placed, level, dimensions), "kd-level")
+        before, placed = placed, materialise(_step(placed, level, dimensions), "kd-level")
+        if level[0].id:
+            discard(before)
         weights = dict(placed.groupBy("node").agg(F.sum("size")).collect())
         level = [tree[i] for n in level for i in (n.left, n.right)]
         for n in level:
@@ -121,16 +127,16 @@ def build(meta: DataFrame, dimensions: int, leaves: int, bins: int, tolerance: f
     return tree, placed
 
 
-def _pass(placed: DataFrame, searches: list[Search], dimensions: int, bins: int, least: float, group: float) -> list[Search]:
+def _pass(placed: DataFrame, searches: list[Search], dimensions: int, bins: int, least: float) -> list[Search]:
     """Narrow every search by one histogram; those that end set their node's cut."""
     wanted = _values(
         placed,
-        "node, slot, dim, part, lo, hi, width, f0, f1",
-        [(s.node.id, k, s.node.dimension, s.part, s.lo, s.hi, max(1, -(-(s.hi - s.lo + 1) // bins)), *(*s.fixed, None, None)[:2]) for k, s in enumerate(searches)],
+        "node, slot, dim, part, lo, hi, width, f0",
+        [(s.node.id, k, s.node.dimension, s.part, s.lo, s.hi, max(1, -(-(s.hi - s.lo + 1) // bins)), s.fixed) for k, s in enumerate(searches)],
     )
     v = _dimension(dimensions)
-    key = F.when(F.col("part") == 0, v).when(F.col("part") == 1, F.col("t")).otherwise(F.col("u"))
-    held = (F.col("part") == 0) | ((v == F.col("f0")) & ((F.col("part") == 1) | (F.col("t") == F.col("f1"))))
+    key = F.when(F.col("part") == 0, v).otherwise(F.col("t"))
+    held = (F.col("part") == 0) | (v == F.col("f0"))
     inside = placed.join(wanted, "node").where(held).withColumn("key", key).where(F.col("key").between(F.col("lo"), F.col("hi")))
     rows = inside.groupBy("slot", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
     left = []
@@ -141,12 +147,12 @@ def _pass(placed: DataFrame, searches: list[Search], dimensions: int, bins: int,
             before, at = before + own[at].w, at + 1
         r = own[at]
         # The cut may stand before this bin or after it; within it only if it is heavy and
-        # holds several rows.
-        if r.w <= least or r.n == 1 or (s.part == 1 and r.lo == r.hi and r.w <= group) or (s.part == 2 and r.lo == r.hi):
-            after = s.need - before > r.w / 2
-            s.node.cut = (*s.fixed, r.hi + 1 if after else r.lo)
+        # holds several texts.
+        if r.w <= least or r.n == 1 or (s.part == 1 and r.lo == r.hi):
+            edge = r.hi + 1 if s.need - before > r.w / 2 else r.lo
+            s.node.cut = (edge,) if s.part == 0 else (s.fixed, edge)
         elif r.lo == r.hi:
-            left.append(Search(s.node, s.need - before, s.part + 1, -WIDEST_HASH, WIDEST_HASH, (*s.fixed, r.lo)))
+            left.append(Search(s.node, s.need - before, 1, -WIDEST_HASH, WIDEST_HASH, r.lo))
         else:
             left.append(Search(s.node, s.need - before, s.part, r.lo, r.hi, s.fixed))
     return left
@@ -165,7 +171,17 @@ def _leaves(tree: dict[int, Node]) -> dict[int, int]:
     return out
 
 
-def kd_shards(docs: DataFrame, leaves: int = 40, dimensions: dict[str, Column] | None = None, bins: int = 512, tolerance: float = 0.0005, group_tolerance: float = 0.02, rows_per_group: int = 2000) -> DataFrame:
+def _rows_of(meta: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows with their text's shard.  Texts of over ``HEAVY`` rows, few by that bound, go to
+    the rows; the others meet them in a shuffle."""
+    heavy = placed.where(F.col("copies") > HEAVY)
+    if not 0 < heavy.count() <= BROADCAST_TEXTS:
+        return meta.join(placed, "t")
+    rest = meta.join(F.broadcast(heavy.select("t")), "t", "left_anti").join(placed.where(F.col("copies") <= HEAVY), "t")
+    return meta.join(F.broadcast(heavy), "t").unionByName(rest)
+
+
+def kd_shards(docs: DataFrame, leaves: int = 40, dimensions: dict[str, Column] | None = None, bins: int = 512, tolerance: float = 0.0005, rows_per_group: int = 2000) -> DataFrame:
     dims = list((dimensions or default_dimensions()).values())
     text = F.col("text").cast("string")
     meta = docs.select(
@@ -176,16 +192,20 @@ def kd_shards(docs: DataFrame, leaves: int = 40, dimensions: dict[str, Column] |
         *(c.cast("double").alias(f"d{k}") for k, c in enumerate(dims)),
         F.monotonically_increasing_id().alias("row"),
     )
-    meta = materialise(meta, "kd-metadata").withColumn("u", F.shiftright(F.xxhash64("row"), 2))
-    seen = meta.agg(F.count("*").alias("n"), *(f(f"d{k}").alias(f"{m}{k}") for k in range(len(dims)) for m, f in (("lo", F.min), ("hi", F.max)))).first()
+    meta = materialise(meta, "kd-metadata")
+    texts = meta.groupBy("t").agg(F.sum("size").alias("size"), F.count("*").alias("copies"), *(F.min(f"d{k}").alias(f"d{k}") for k in range(len(dims))))
+    texts = materialise(texts, "kd-texts")
+    seen = texts.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), *(f(f"d{k}").alias(f"{m}{k}") for k in range(len(dims)) for m, f in (("lo", F.min), ("hi", F.max)))).first()
     # Every dimension is laid on a grid over its own range, so that widths compare.
     for k in range(len(dims)):
         lo, hi = seen[f"lo{k}"] or 0.0, seen[f"hi{k}"] or 0.0
-        meta = meta.withColumn(f"v{k}", F.coalesce(F.floor((F.col(f"d{k}") - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(GRID))), F.lit(-1)).cast("long"))
-    tree, placed = build(meta, len(dims), leaves, bins, tolerance, group_tolerance)
+        texts = texts.withColumn(f"v{k}", F.coalesce(F.floor((F.col(f"d{k}") - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(GRID))), F.lit(-1)).cast("long")).drop(f"d{k}")
+    tree, placed = build(texts, len(dims), leaves, bins, tolerance)
     shards = _values(meta, "node, shard", list(_leaves(tree).items()))
     groups = max(1, -(-seen.n // (leaves * rows_per_group)))
-    placed = placed.join(shards, "node").select("doc_id", "size", "text_crc32", "row", F.col("shard").cast("int").alias("shard"), F.pmod("u", F.lit(groups)).alias("part"))
+    placed = placed.join(shards, "node").select("t", "copies", F.col("shard").cast("int").alias("shard"))
+    part = F.pmod(F.xxhash64("row"), F.lit(groups)).alias("part")
+    placed = _rows_of(meta, placed).select("doc_id", "size", "text_crc32", "row", "shard", part)
     # Slots: numbers within bounded groups, plus what the shard's earlier groups hold.
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

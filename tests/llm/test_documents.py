@@ -162,9 +162,17 @@ def test_sharding(spark, docs, texts):
         slots[r.shard].append(r.slot)
     assert len(got) == len(texts) and set(size) == set(range(8))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(size.values()) - min(size.values()) < 2.5 * max(r.size for r in got)
-    same = spark.createDataFrame([(k, "equal", "en", "s", 5, "", "") for k in range(400)], SCHEMA)
-    assert set(Counter(r.shard for r in sharding.kd_shards(same, leaves=8).collect()).values()) == {50}
+    of, weight = defaultdict(set), Counter()
+    for r in got:
+        of[texts[r.doc_id]].add(r.shard)
+        weight[texts[r.doc_id]] += r.size
+    assert all(len(shards) == 1 for shards in of.values())
+    assert max(size.values()) - min(size.values()) < 2.5 * max(weight.values())
+    same = spark.createDataFrame([(k, "equal" if k % 2 else f"other {k}", f"l{k % 5}", "s", 5, "", "") for k in range(400)], SCHEMA)
+    spread = defaultdict(set)
+    for r in sharding.kd_shards(same, leaves=8).collect():
+        spread["equal" if r.doc_id % 2 else r.doc_id].add(r.shard)
+    assert all(len(x) == 1 for x in spread.values()) and len(set.union(*spread.values())) > 3
     assert sharding.kd_shards(docs.limit(0), leaves=8).count() == 0
 
 
@@ -251,3 +259,43 @@ def test_pipeline_stages(spark, tmp_path, docs):
     links, root = brute([all_rows[k] for k in ids])
     # Without toxic labels nothing is toxic; of a group at most one document is packed.
     assert max(Counter(root[ids.index(k)] for k in packed).values()) == 1
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = [(2, a + " b"), (2, c), (3, a + " c"), (4, c + " k"), (None, b), (None, b), (None, b + " z"), (None, None), (5, b + " y"), (7, "x y"), (7, "x y"), (None, "q r"), (None, "q r"), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, rep int")
+    links, _ = brute([t for _, t in rows])
+    got = jaccard.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((r[0], n) for r, n in zip(rows, links))
+    assert {(r.doc_id, r.class_id) for r in got} == {(2, 2), (3, 2), (4, 2), (5, 5), (None, 5), (None, None), (7, 7), (8, 8)}
+    one = [(r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()]
+    assert Counter(one) == Counter([rows[0], rows[1], (None, None), rows[8], rows[9], rows[11], rows[13], rows[14]])
+
+
+def test_cuts_are_weighted_quantiles_of_the_widest_dimension(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(1, 90), rng.randrange(1000), rng.randrange(300), t) for t in range(400)]
+    meta = spark.createDataFrame(rows, "size long, v0 long, v1 long, t long")
+    tree, placed = sharding.build(meta, 2, 6, 16, 0.0)
+    nodes = {r.t: r.node for r in placed.collect()}
+
+    def check(node, held):
+        n = tree[node]
+        assert n.weight == sum(r[0] for r in held)
+        if n.cut is None:
+            assert n.leaves == 1 and all(nodes[r[3]] == node for r in held)
+            return
+        wide = [max(r[k] for r in held) - min(r[k] for r in held) for k in (1, 2)]
+        assert n.dimension == wide.index(max(wide))
+        key = lambda r: (r[1 + n.dimension], r[3])
+        cut = (n.cut + (-(1 << 62),))[:2]
+        left = [r for r in held if key(r) < cut]
+        need, order = n.weight * (n.leaves // 2) / n.leaves, sorted(held, key=key)
+        sums = [sum(r[0] for r in order[:k]) for k in range(len(order) + 1)]
+        assert abs(sum(r[0] for r in left) - need) == min(abs(x - need) for x in sums)
+        check(n.left, left)
+        check(n.right, [r for r in held if key(r) >= cut])
+
+    check(0, rows)

@@ -134,3 +134,32 @@ def test_vectors(spark, monkeypatch):
     got = {r.vec_id: r for r in subspace.near_vectors(df).collect()}
     assert [(got[k].n_links, got[k].component_id, got[k].kept) for k in range(n)] == [(links[k], find(k), find(k) == k) for k in range(n)]
     assert subspace.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 64))
+    rows = [(1, a), (1, b), (None, a * 1.01 + 0.001), (2, b + 0.01 * a), (None, -a), (None, None), (3, a)]
+    df = spark.createDataFrame([(k, None if v is None else v.tolist(), 0) for k, v in rows], "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in subspace.near_vectors(df).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 1, 1, True), (None, 2, 1, False), (2, 1, 1, False), (None, 0, None, True), (None, 0, None, True), (3, 2, 1, False)])
+
+
+def test_pairs_near_the_bound_are_verified_exactly(spark):
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=64)
+    a /= np.linalg.norm(a)
+    rows = [a]
+    for k, eps in enumerate((1e-12, 1e-9, 1e-7, 1e-5, -1e-12, -1e-9, -1e-7, -1e-5)):
+        o = rng.normal(size=64)
+        o -= (o @ a) * a
+        o /= np.linalg.norm(o)
+        c = 0.93 + eps
+        rows.append(c * a + (1 - c * c) ** 0.5 * o)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    x = np.array(rows)
+    exact = [(x[i] @ x[j]) / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j])) >= 0.93 for i in range(9) for j in range(9)]
+    links = (np.array(exact).reshape(9, 9).sum(1) - 1).tolist()
+    assert links[0] >= 4
+    got = {r.vec_id: r.n_links for r in subspace.near_vectors(df).collect()}
+    assert [got[k] for k in range(9)] == links
