@@ -6,17 +6,24 @@ remove what no browser shows: head content, scripts, styles, templates, hidden e
 The renderer emits all other text: inline white space collapses, blocks stand apart (a blank
 line around paragraphs, headings, lists and tables; a line break around other blocks),
 list items carry bullets or numbers and are indented by depth, table cells are padded so
-that columns align, and preformatted text keeps its spaces.
+that columns align (over columns and rows that cells span), and preformatted text keeps its
+spaces.  A table row whose cells hold line breaks, or more than ``WIDE`` signs, is written
+one cell below the other instead.
+
+Visible are also the text of formulas and drawings, open dialogs, the labels of button
+inputs, and what stands in an object without data.
 
 Edge cases: a null page gives null; an empty one, or one with nothing visible, an empty
-text; an unclosed comment, tag or script runs to the page's end; nesting deeper than
-``DEEPEST`` is flattened, its text kept; very long pages are read whole.
+text; an unclosed comment, tag or script runs to the page's end; a quote opens a value only
+after ``=``; nesting may be of any depth; very long pages are read whole.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +31,15 @@ from pyspark.sql import functions as F
 
 from quarry.runtime import bound_batches
 
-DEEPEST = 400
+WIDE = 200
 
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head title script style template noscript iframe object embed audio video canvas svg math datalist noembed noframes area base link meta param source track col colgroup rp dialog".split())
+UNSEEN = frozenset("head title script style template noscript iframe embed audio video canvas datalist noembed noframes area base link meta param source track col colgroup rp".split())
+#: Parts of drawings and formulas that aren't drawn.
+UNDRAWN = {"svg": frozenset("defs symbol desc metadata clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
+DRAWN_TEXT = frozenset({"text", "foreignobject"})
 LOOSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr".split())
 TIGHT = frozenset("html body div section article aside nav header footer main address form figcaption details summary legend li dt dd caption thead tbody tfoot tr td th option optgroup select center hgroup search menu dir".split())
 BLOCKS = LOOSE | TIGHT
@@ -51,73 +61,91 @@ IMPLIED = {
 BORDERS = frozenset({"table", "td", "th", "caption", "html", "template", "body"})
 HEAD_ONLY = frozenset({"html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"})
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    __slots__ = ("tag", "hidden", "start", "span", "children", "alt")
+    __slots__ = ("tag", "hidden", "start", "span", "down", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children = tag, []
-        self.hidden = tag in UNSEEN
-        self.start, self.span, self.alt = 1, 1, ""
+        self.hidden = tag in UNSEEN or tag == "dialog"
+        self.start, self.span, self.down = 1, 1, 1
         if attributes and attributes.strip(" /\n\t\r"):
-            a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-            self.hidden |= "hidden" in a or bool(_HIDING.search(a.get("style", ""))) or (tag == "input" and a.get("type", "").lower() == "hidden")
+            a = {}
+            for m in _ATTRIBUTE.finditer(attributes):
+                a.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+            if tag == "dialog":
+                self.hidden = "open" not in a
+            self.hidden |= "hidden" in a or bool(_HIDING.search(a.get("style", ""))) or (tag == "object" and "data" in a)
+            if tag == "input":
+                kind = a.get("type", "").lower()
+                self.hidden |= kind == "hidden"
+                if kind in ("submit", "reset", "button") and a.get("value"):
+                    self.children.append(a["value"])
             if tag == "ol" and re.fullmatch(r"-?\d{1,9}", a.get("start", "")):
                 self.start = int(a["start"])
-            if tag in ("td", "th") and re.fullmatch(r"\d{1,3}", a.get("colspan", "")):
-                self.span = max(1, int(a["colspan"]))
+            if tag in ("td", "th"):
+                self.span, self.down = (max(1, int(a[k])) if re.fullmatch(r"\d{1,3}", a.get(k, "")) else 1 for k in ("colspan", "rowspan"))
 
 
-def parse(page: str) -> Element:
-    """The tree of a page; character references in text are resolved."""
+def parse(page: str) -> tuple[Element, int]:
+    """The tree of a page and its depth; character references in text are resolved."""
     root = Element("html")
-    stack = [root]
+    stack, open_ = [root], Counter()
+    deepest = 1
+
+    def push(element: Element) -> None:
+        nonlocal deepest
+        stack.append(element)
+        open_[element.tag] += 1
+        deepest = max(deepest, len(stack))
 
     def pop_to(k: int) -> None:
+        for element in stack[k:]:
+            open_[element.tag] -= 1
         del stack[k:]
 
     def text(piece: str) -> None:
         if piece:
             if stack[-1].tag == "head" and piece.strip():
                 pop_to(len(stack) - 1)  # text ends the head
-            stack[-1].children.append(html.unescape(piece))
+            if not open_["svg"] or open_["text"] or open_["foreignobject"]:
+                stack[-1].children.append(html.unescape(piece))
 
     at = 0
     while True:
         m = _TOKEN.search(page, at)
         if not m:
             text(page[at:])
-            return root
+            return root, deepest
         text(page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
                     pop_to(k)
                     break
                 if stack[k].tag in BORDERS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
-            else:
-                if tag == "br":
-                    stack[-1].children.append(Element("br"))
+            if tag == "br":
+                stack[-1].children.append(Element("br"))
             continue
         if not m[2]:
             continue
         tag = m[2].lower()
         if tag in ("html", "body") and len(stack) == 1 or tag == "html":
             if tag == "body":
-                stack.append(Element("body", m[3]))
+                push(Element("body", m[3]))
                 root.children.append(stack[-1])
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             pop_to(len(stack) - 1)
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     pop_to(k)
@@ -134,6 +162,8 @@ def parse(page: str) -> Element:
                     if tag in ("li", "dt", "dd", "option", "td", "th"):
                         break
         element = Element(tag, m[3])
+        for outer, parts in UNDRAWN.items():
+            element.hidden |= tag in parts and open_[outer] > 0
         stack[-1].children.append(element)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -141,8 +171,8 @@ def parse(page: str) -> Element:
             element.children.append(html.unescape(page[at:stop]) if tag in ("textarea", "title") else page[at:stop])
             close = page.find(">", stop) if end else -1
             at = close + 1 if close >= 0 else len(page)
-        elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS) and len(stack) < DEEPEST:
-            stack.append(element)
+        elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS):
+            push(element)
 
 
 class Lines:
@@ -221,7 +251,7 @@ def _render(node: Element, out: Lines, pre: bool = False) -> None:
             for k, line in enumerate([x for x in inner.lines if x]):
                 out.now.append((mark if not k else " " * len(mark)) + line)
                 out.end()
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag in DRAWN_TEXT:
             nested = tag in ("ul", "ol", "menu", "dir") and node.tag in ("li", "ul", "ol")
             (out.gap if tag in LOOSE and not nested else out.end)()
             if tag in ("blockquote", "dd"):
@@ -252,9 +282,28 @@ def _rows(node: Element):
                 yield "text", child, ""
 
 
+def _cells(row: Element) -> list[tuple[str, int, int]]:
+    """(text, columns, rows) of a row's visible cells."""
+    out = []
+    for cell in row.children:
+        if isinstance(cell, str) and not cell.strip() or isinstance(cell, Element) and cell.hidden:
+            continue
+        inner = Lines()
+        if isinstance(cell, str):
+            inner.write(cell)
+        else:
+            holder = Element("div")
+            holder.children = [cell] if cell.tag not in ("td", "th") else cell.children
+            _render(holder, inner)
+        inner.end()
+        out.append(("\n".join(x for x in inner.lines if x), *((cell.span, cell.down) if isinstance(cell, Element) else (1, 1))))
+    return out
+
+
 def _table(node: Element) -> list[str]:
-    """Lines of a table: single-line cells in padded columns, others below each other."""
-    grid: list[list[tuple[str, int]] | str] = []
+    """Lines of a table: rows of short cells in padded columns, others' cells stacked."""
+    grid: list[list[tuple[int, str, int]] | str] = []
+    below: dict[int, int] = {}  # by column, the rows that a cell above still covers
     for kind, element, text in _rows(node):
         if kind == "text":
             inner = Lines()
@@ -263,40 +312,37 @@ def _table(node: Element) -> list[str]:
             inner.end()
             grid += inner.lines
             continue
-        row: list[tuple[str, int]] = []
-        for cell in element.children:
-            if isinstance(cell, str) and not cell.strip() or isinstance(cell, Element) and cell.hidden:
-                continue
-            inner = Lines()
-            if isinstance(cell, str):
-                inner.write(cell)
-            else:
-                holder = Element("div")
-                holder.children = [cell] if cell.tag not in ("td", "th") else cell.children
-                _render(holder, inner)
-            inner.end()
-            row.append(("\n".join(x for x in inner.lines if x), cell.span if isinstance(cell, Element) else 1))
+        row, at, covered = [], 0, {k for k, n in below.items() if n}
+        below = {k: n - 1 for k, n in below.items() if n > 1}
+        for text, span, down in _cells(element):
+            while at in covered:
+                at += 1
+            row.append((at, text, span))
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + span), down - 1)
+            at += span
         grid.append(row)
-    many = any("\n" in c for row in grid if isinstance(row, list) for c, _ in row)
+    stacked = [isinstance(row, str) or any("\n" in c or len(c) > WIDE for _, c, _ in row) for row in grid]
     widths: dict[int, int] = {}
-    for row in grid if not many else []:
-        at = 0
-        for c, span in row if isinstance(row, list) else []:
+    for row, apart in zip(grid, stacked):
+        for at, c, span in () if apart else row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), len(c))
-            at += span
     lines: list[str] = []
-    for row in grid:
+    for row, apart in zip(grid, stacked):
         if isinstance(row, str):
             lines.append(row)
-        elif many:
-            lines += [line for c, _ in row for line in c.split("\n") if line]
+        elif apart:
+            lines += [line for _, c, _ in row for line in c.split("\n")]
         else:
-            at, cells = 0, []
-            for c, span in row:
-                cells.append(c.ljust(sum(widths.get(at + k, 0) for k in range(span)) + 2 * (span - 1)))
-                at += span
-            lines.append("  ".join(cells).rstrip())
+            line, begins, done = "", 0, 0
+            for at, c, span in row:
+                begins += sum(widths.get(k, 0) + 2 for k in range(done, at))
+                line = line.ljust(begins) + c
+                begins += sum(widths.get(k, 0) + 2 for k in range(at, at + span))
+                done = at + span
+                line += "  " if len(line) > begins - 2 else ""  # a spanning cell wider than its columns
+            lines.append(line.rstrip())
     return [x for x in lines if x]
 
 
@@ -304,7 +350,9 @@ def render(page: str | None) -> str | None:
     if page is None:
         return None
     out = Lines()
-    _render(parse(page), out)
+    root, deepest = parse(page)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * deepest))
+    _render(root, out)
     out.end()
     return "\n".join(out.lines).strip("\n")
 

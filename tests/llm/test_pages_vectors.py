@@ -1,5 +1,6 @@
 """URL rules, HTML rendering and vectors against brute force."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -83,6 +84,15 @@ def test_prune_and_index():
         ("<select><option>a<option>b</select>", "a\nb"),
         ("a &lt;b&gt; 1 < 2", "a <b> 1 < 2"),
         ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
+        ("<p title=it's>one</p><p>don't</p>", "one\n\ndon't"),
+        ("<a title='x > y' href=z>t</a>", "t"),
+        ("<table><tr><td>a<td>bb<tr><td>x<br>y<td>z<tr><td>ccc<td>d</table>", "a    bb\nx\ny\nz\nccc  d"),
+        ("<table><tr><td rowspan=2>r<td>a<tr><td>b<tr><td>long<td>c</table>", "r     a\n      b\nlong  c"),
+        ("<math><mi>x</mi><mo>+</mo><annotation>TeX</annotation></math>", "x+"),
+        ("a<svg><title>t</title><desc>d</desc>no<text>drawn</text></svg>b", "a\ndrawn\nb"),
+        ("<dialog>shut</dialog><dialog open>open</dialog>", "open"),
+        ("<object data=x>no</object><object>yes</object>", "yes"),
+        ("<input type=submit value='Go on'><input type=hidden value=h><input type=text>", "Go on"),
     ],
 )
 def test_rendering(page, text):
@@ -90,9 +100,71 @@ def test_rendering(page, text):
     assert (got and got.lstrip("\n")) == text if not (text or "").startswith("x\n   ") else got.strip() == text
 
 
-def test_deep_nesting_keeps_all_text():
-    page = "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after"
-    assert htmltext.render(page).split() == ["deep", "after"]
+def test_deep_nesting():
+    page = "<div>" * 30000 + "deep" + "</div>" * 30000 + "<p>after"
+    assert htmltext.render(page).split("\n") == ["deep", "", "after"]
+    for kind in ("hidden", "style='display:none'"):
+        assert htmltext.render("<div>" * 3000 + f"<span {kind}>secret<b>too</b></span>seen") == "seen"
+    assert htmltext.render("<b>" * 20000 + "x" + "</i>" * 20000 + "y") == "xy"
+
+
+def test_random_trees_against_a_plain_renderer():
+    rng = random.Random(3)
+    names, word = ["div", "p", "span", "b", "section", "h2", "em", "article"], iter(range(10**9))
+
+    def tree(depth):
+        """(tag or None for text, hidden, children)"""
+        if depth == 0 or rng.random() < 0.3:
+            return (None, False, f"w{next(word)}" + rng.choice(["", " ", "\n "]))
+        return (rng.choice(names), rng.random() < 0.15, [tree(depth - 1) for _ in range(rng.randint(0, 4))])
+
+    def source(node):
+        tag, hidden, inner = node
+        if tag is None:
+            return inner
+        if tag in ("p", "h2"):  # hold no blocks
+            inner = [x for x in inner if x[0] in (None, "span", "b", "em")]
+        off = rng.choice([" hidden", " style='display:none'", ' style="color:red;visibility : hidden"']) if hidden else ""
+        return f"<{tag}{off}>{''.join(map(source, inner))}</{tag}>"
+
+    def plain(page):
+        """Lines of visible words, by the standard library's parser."""
+        from html.parser import HTMLParser
+
+        text, shut = [], []
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attributes):
+                a = dict(attributes)
+                shut.append("hidden" in a or "none" in (a.get("style") or "") or "hidden" in (a.get("style") or ""))
+                if tag not in ("span", "b", "em") and not any(shut):
+                    text.append("\x00")
+
+            def handle_endtag(self, tag):
+                if tag not in ("span", "b", "em") and not any(shut):
+                    text.append("\x00")
+                shut.pop()
+
+            def handle_data(self, data):
+                if not any(shut):
+                    text.append(data)
+
+        Reader().feed(page)
+        return [" ".join(x.split()) for x in "".join(text).split("\x00") if x.strip()]
+
+    def nests_paragraphs(node, inside=False):
+        tag, _, inner = node
+        return tag is not None and (inside and tag not in ("span", "b", "em") or any(nests_paragraphs(x, inside or tag in ("p", "h2")) for x in inner))
+
+    seen = 0
+    for _ in range(400):
+        node = tree(5)
+        if nests_paragraphs(node):
+            continue
+        page = source(node)
+        assert [x for x in htmltext.render(page).split("\n") if x] == plain(page)
+        seen += 1
+    assert seen > 100
 
 
 def test_extract(spark):
