@@ -7,7 +7,8 @@ windows; how much shorter a window compresses with the toxic dictionary is a sma
 number, nearly always 0 in ordinary text.  Training windows give each difference its log
 odds, of either sign; a text's evidence is the sum over its windows, and a logistic fit on
 training texts turns evidence into a score in [0, 1].  Odds and fit only see texts that the
-dictionaries they are measured with were not trained on.
+dictionaries they are measured with were not trained on: the texts are dealt into folds, and
+each fold is measured with dictionaries trained on the others.
 
 Only texts enter a score.  Edge cases: null and empty texts have no windows and get the
 score of no evidence; without toxic and ordinary training rows every score is 0; very long
@@ -28,13 +29,14 @@ from quarry.llm.bpe import slices
 from quarry.llm.sample import labelled
 from quarry.runtime import bound_batches
 
-WINDOW = 96
+WINDOW = 48
 LEVEL = 6
 LOWEST, HIGHEST = -4, 12
-GRAMS = 4, 6
+GRAMS = 4, 6, 8
 SHINGLE = 24
 _BITS = 22
 TOXIC_BYTES = 4096
+FOLDS = 3
 
 
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
@@ -111,9 +113,9 @@ def _contrast(ordinary: list[list[str]], toxic: list[list[str]], n: int, ratio:
     return out
 
 
-def toxic_passages(ordinary: list[list[str]], toxic: list[list[str]], least: float = 25.0, ratio: float = 5.0) -> list[bytes]:
+def toxic_passages(ordinary: list[list[str]], toxic: list[list[str]], least: float = 16.0, ratio: float = 5.0) -> list[bytes]:
     """All runs of toxic texts that are covered by n-grams whose contrast is over ``least``,
-    about 5 standard deviations.  Runs are bytes, so scripts without spaces have them too.
+    4 standard deviations.  Runs are bytes, so scripts without spaces have them too.
     Near copies, given as groups, are counted once."""
     texts = [t for group in toxic for t in group]
     marks = [np.zeros(len(_data(t)) + 1, np.int32) for t in texts]
@@ -190,11 +192,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def dictionaries(ordinary: list[list[str]], toxic: list[list[str]], dictionary_bytes: int = 65536, toxic_bytes: int = TOXIC_BYTES) -> Model:
-    """A model with trained dictionaries and no odds yet."""
+def dictionaries(ordinary: list[list[str]], toxic: list[list[str]], dictionary_bytes: int = 65536, toxic_bytes: int = TOXIC_BYTES, most_windows: int = 60_000) -> Model:
+    """A model with trained dictionaries and no odds yet.  Of the ordinary windows at most
+    about ``most_windows``, evenly spaced, train the larger dictionary."""
     samples = [w for group in ordinary for t in group for w in windows(t, 64)]
-    base = trained(dictionary_bytes, samples[:: max(1, len(samples) // 60_000)], level=3)
-    passages = toxic_passages(ordinary, toxic)
+    base = trained(dictionary_bytes, samples[:: max(1, len(samples) // most_windows)], level=3)
+    # Training skips what it has; different passages in no order keep it going.
+    passages = list(dict.fromkeys(toxic_passages(ordinary, toxic)))
+    np.random.default_rng(1).shuffle(passages)
     return Model(base, trained(toxic_bytes, passages, k=24, d=8, level=3) + b" " + base) if passages else Model(base, base)
 
 
@@ -204,12 +209,15 @@ def train(toxic: list[str], ordinary: list[str], share: float | None = None) ->
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))  # copies teach nothing
     if not toxic or not ordinary:
         return Model()
-    toxic, ordinary = groups(toxic), groups(ordinary)
-    # Half of the groups train the dictionaries, the other half the odds and the fit.
-    model = dictionaries(ordinary[::2], toxic[::2])
+    parts = groups(ordinary), groups(toxic)
+    model = dictionaries(*parts)
     if model.toxic == model.ordinary:  # no passage stands out
         return Model()
-    differences = [[model.differences(t) for group in part[1::2] or part for t in group] for part in (ordinary, toxic)]
+    differences: list[list[np.ndarray]] = [[], []]
+    for fold in range(FOLDS):
+        rest = dictionaries(*([g for k, g in enumerate(part) if k % FOLDS != fold] for part in parts))
+        for part, got in zip(parts, differences):
+            got += [rest.differences(t) for group in part[fold::FOLDS] for t in group]
     size = HIGHEST - LOWEST + 1
     seen = [np.bincount(np.concatenate(d), minlength=size) + 0.5 for d in differences]
     model.odds = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
@@ -227,11 +235,15 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_ordinary: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_ordinary: int = 3000, most_signs: int = 1 << 16) -> Model:
     """Fit on at most so many labelled texts of each class (by id hash), held-out rows
-    aside.  The texts come to the driver: about 15 MB at usual lengths."""
+    aside.  Of a text with over ``most_signs`` signs that many are used, in 64 pieces spread
+    evenly over it.  The texts come to the driver: about 15 MB at usual lengths."""
     rows = labelled(docs, labels, "toxic", {1: most_toxic, 0: most_ordinary}, where=~held_out())
-    got = sorted((r.doc_id, r.y, r.text) for r in rows.where(F.octet_length("text") < 1 << 16).collect())
+    size = F.length("text")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.substring("text", (k * size / 64).cast("int") + 1, F.lit(most_signs // 64)))
+    text = F.when(size > most_signs, F.array_join(pieces, " ")).otherwise(F.col("text")).alias("text")
+    got = sorted((r.doc_id, r.y, r.text) for r in rows.select("doc_id", "y", text).collect())
     shares = dict(labels.where(~held_out()).where("toxic IN (0, 1)").groupBy("toxic").count().collect())
     share = shares.get(1, 0) / max(1, sum(shares.values()))
     return train([t for _, y, t in got if y], [t for _, y, t in got if not y], share=share)

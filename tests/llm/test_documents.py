@@ -299,3 +299,24 @@ def test_cuts_are_weighted_quantiles_of_the_widest_dimension(spark):
         check(n.right, [r for r in held if key(r) >= cut])
 
     check(0, rows)
+
+
+def test_scores_follow_the_definition():
+    rng = random.Random(6)
+    plain = [prose(rng, 80) for _ in range(200)]
+    bad = [prose(rng, 40) + " vilefool " + prose(rng, 40) + " scumbagger" for _ in range(80)]
+    model = toxicity.train(bad, plain)
+    assert model.toxic.endswith(b" " + model.ordinary) and len(model.ordinary) <= 65536
+
+    def length(dictionary, window):
+        import zstandard
+
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(window))
+
+    for text in (plain[0], bad[0], "", "x" * 300):
+        parts = toxicity.windows(text)
+        odds = [model.odds[min(toxicity.HIGHEST, max(toxicity.LOWEST, length(model.ordinary, w) - length(model.toxic, w))) - toxicity.LOWEST] for w in parts]
+        z = np.array([sum(odds), np.log1p(len(parts)), 1.0]) @ np.array(model.weights)
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
