@@ -7,10 +7,16 @@ block label with enough support, confidence and lift.  A mined rule is dropped w
 with fewer tokens is at least as confident.  An inverted index (rarest token of each rule
 to the rule) finds the rules that a URL fits without trying all of them.
 
+Mining is bounded without losing what rules decide.  Tokens that the same labelled URLs hold
+are one item (any of them stands for it), so a long path that many URLs share is one item.
+FP-growth only sees the blocked URLs, for a rule's support is theirs; the combinations are
+then counted in all labelled URLs.  The bounds of this fit are parameters: rules of up to
+``longest`` items, found among the ``widest`` items of a URL that lift the label most, and
+the ``most_rules`` best supported combinations.
+
 Edge cases: a null URL, or one without ``://``, has an empty host and path, no tokens and
 is allowed; equal URLs get equal verdicts; with no labels or only one kind of label nothing
-is mined; more mined rules than ``most_rules`` raise an error that asks for more support,
-rather than being cut; other columns are ignored.
+is mined; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +24,15 @@ from __future__ import annotations
 import string
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.runtime import materialise
+
 BLOCK, ALLOW = "block", "allow"
-LABEL = "\x00block"
 
 
 def host_of(url: Column) -> Column:
@@ -61,24 +69,74 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def mine(urls: DataFrame, support: float = 0.002, least: int = 8, confidence: float = 0.5, lift: float = 1.5, most_rules: int = 50_000) -> list[tuple[tuple[str, ...], float]]:
-    """Token combinations that imply the block label; urls: (tokens, blocked).
+def least_share(hits: int, n: int, z: float = 1.645) -> float:
+    """The lower end of Wilson's interval for a share of hits in n, at 95 %."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+
+def items_of(urls: DataFrame, least: float) -> DataFrame:
+    """(token, item, n, hits) of tokens in ``least`` URLs or more: tokens of the same URLs
+    share an item, the least of them.  urls: (url, tokens, blocked)."""
+    each = urls.select(F.col("blocked").cast("int").alias("hit"), F.xxhash64(F.monotonically_increasing_id()).alias("row"), F.explode("tokens").alias("token"))
+    marks = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.expr("bit_xor(row)").alias("x"), F.sum(F.shiftright("row", 32)).alias("s"))
+    same = marks.where(F.col("n") >= least).groupBy("n", "hits", "x", "s").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return same.select(F.explode("tokens").alias("token"), "item", "n", "hits")
+
+
+Rules = list[tuple[tuple[str, ...], float]]
+
+
+def mine(
+    urls: DataFrame, support: float = 0.002, least: int = 8, confidence: float = 0.5, sure: float = 0.5, lift: float = 1.5, longest: int = 4, widest: int = 12, most_rules: int = 20_000
+) -> tuple[Rules, dict[str, str]]:
+    """Item combinations that imply the block label, and the items of tokens; urls: (tokens,
+    blocked).
+
+    A rule must hold in ``support`` of the labelled URLs and in ``least`` of them; of the
+    URLs with its items ``confidence`` must be blocked, with a lower bound at 95 % of
+    ``sure``, and ``lift`` times the share of all URLs."""
+    urls = materialise(urls.where(F.size("tokens") > 0).select("tokens", "blocked"), "urls")
+    known, blocked = urls.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("int")), F.lit(0))).first()
+    if known < least or not 0 < blocked < known:
+        return [], {}
+    need = max(support * known, least)
+    rows = items_of(urls, need).where(F.col("hits") >= need).collect()  # at most a URL's tokens / support
+    item = {r.token: r.item for r in rows}
+    rank = {r.item: (-r.hits / r.n, r.item) for r in rows}
+
+    def transactions(batches):
+        for batch in batches:
+            held = [sorted({item[t] for t in tokens if t in item}, key=rank.__getitem__)[:widest] for tokens in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["items"])
+
+    hit = urls.where("blocked").mapInArrow(transactions, "items array<string>").where(F.size("items") > 0)
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, need / max(1, hit.count()))).fit(hit).freqItemsets.where(F.size("items") <= longest)
+    candidates = [tuple(sorted(r["items"])) for r in found.orderBy(F.desc("freq"), "items").limit(most_rules).collect()]
+    index = inverted_index([(c, 0.0) for c in candidates])
+    number = {frozenset(c): k for k, c in enumerate(candidates)}
+
+    def counts(batches):
+        n, hits = np.zeros(len(candidates), np.int64), np.zeros(len(candidates), np.int64)
+        for batch in batches:
+            for tokens, bad in zip(batch.column("tokens").to_pylist(), batch.column("blocked").to_pylist()):
+                fits = [number[r] for r in fitting(index, {item[t] for t in tokens if t in item})]
+                n[fits] += 1
+                hits[fits] += bad
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(hits[some])], names=["rule", "n", "hits"])
+
+    totals = urls.mapInArrow(counts, "rule long, n long, hits long").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()
+    good = [r for r in totals if r.hits >= need and r.hits >= confidence * r.n and least_share(r.hits, r.n) >= sure and r.hits * known >= lift * blocked * r.n]
+    return prune([(candidates[r.rule], r.hits / r.n) for r in good]), item
+
 
-    A rule must hold in ``support`` of the labelled URLs and in ``least`` of them."""
-    known = urls.where(F.size("tokens") > 0).count()
-    if known < least:
-        return []
-    support = max(support, least / known)
-    items = urls.where(F.size("tokens") > 0).select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == LABEL) & (F.col("lift") >= lift))
-    rows = found.select("antecedent", "confidence").limit(most_rules + 1).collect()
-    if len(rows) > most_rules:
-        raise ValueError(f"over {most_rules} rules; raise the support or the confidence")
-    return prune([(tuple(sorted(r.antecedent)), r.confidence) for r in rows])
+def fitting(index: dict[str, list[frozenset]], own: set[str]) -> list[frozenset]:
+    """The rules whose items are all among ``own``."""
+    return [r for t in own for r in index.get(t, ()) if r <= own]
 
 
-def prune(rules: list[tuple[tuple[str, ...], float]]) -> list[tuple[tuple[str, ...], float]]:
+def prune(rules: Rules) -> Rules:
     """Without rules that a shorter one, at least as confident, makes needless."""
     kept: dict[frozenset, float] = {}
     for tokens, sure in sorted(rules, key=lambda r: (len(r[0]), r[0])):
@@ -89,7 +147,7 @@ def prune(rules: list[tuple[tuple[str, ...], float]]) -> list[tuple[tuple[str, .
     return sorted((tuple(sorted(k)), v) for k, v in kept.items())
 
 
-def inverted_index(rules: list[tuple[tuple[str, ...], float]]) -> dict[str, list[frozenset]]:
+def inverted_index(rules: Rules) -> dict[str, list[frozenset]]:
     """Each rule under that of its tokens which the fewest rules hold."""
     count: dict[str, int] = {}
     for tokens, _ in rules:
@@ -107,15 +165,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     typed = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"))
     marks = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.coalesce(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)), F.lit(False)).alias("blocked"))
     seen = typed.join(marks, "page_id").select(tokens_of(F.col("url")).alias("tokens"), "blocked")
-    index = inverted_index(mine(seen, **mining))
+    found, item = mine(seen, **mining)
+    index = inverted_index(found)
 
     def run(batches):
         for batch in batches:
             said = []
             for ruled, tokens in zip(batch.column("verdict").to_pylist(), batch.column("tokens").to_pylist()):
                 if ruled is None:
-                    own = set(tokens or ())
-                    ruled = BLOCK if any(r <= own for t in own for r in index.get(t, ())) else ALLOW
+                    ruled = BLOCK if fitting(index, {item[t] for t in tokens or () if t in item}) else ALLOW
                 said.append(ruled)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "host", "path", "rule")] + [pa.array(said, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 

@@ -235,3 +235,41 @@ def test_pairs_near_the_bound_are_verified_exactly(spark):
     assert links[0] >= 4
     got = {r.vec_id: r.n_links for r in subspace.near_vectors(df).collect()}
     assert [got[k] for k in range(9)] == links
+
+
+def test_mining_against_all_combinations(spark):
+    from itertools import combinations
+
+    rng = random.Random(10)
+    rows = []
+    for k in range(400):
+        tokens = sorted(rng.sample("abcdefgh", rng.randint(1, 5)))
+        tokens += ["twin"] * ("a" in tokens)  # always beside a
+        bad = rng.random() < (0.9 if {"a", "c"} <= set(tokens) else 0.85 if {"b", "d", "e"} <= set(tokens) else 0.2)
+        rows.append((tokens, bad))
+    found, item = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), longest=3)
+    index, share = urlfilter.inverted_index(found), sum(b for _, b in rows) / len(rows)
+    good = set()
+    for size in (1, 2, 3):
+        for c in combinations([*"abcdefgh", "twin"], size):
+            held = [b for t, b in rows if set(c) <= set(t)]
+            if sum(held) >= 8 and sum(held) >= 0.5 * len(held) and urlfilter.least_share(sum(held), len(held)) >= 0.5 and sum(held) / len(held) >= 1.5 * share:
+                good.add(frozenset(c))
+    assert good
+    for size in range(5):
+        for c in combinations([*"abcdefgh", "twin"], size):
+            assert bool(urlfilter.fitting(index, {item[t] for t in c if t in item})) == any(g <= set(c) for g in good), c
+
+
+def test_long_shared_paths_are_one_item(spark):
+    long = "/".join(f"seg{chr(97 + k)}" for k in range(24))
+    rows = [(k, f"http://x{k}.example.org/{long}/{k}") for k in range(30)] + [(100 + k, f"http://y{k}.example.net/ok") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= 100), 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, labels, []).collect()}
+    assert got == {k: "block" if k < 100 else "allow" for k, _ in rows}
+
+
+def test_lower_bound_of_a_share():
+    assert urlfilter.least_share(8, 8) == pytest.approx(8 / (8 + 1.645**2))
+    assert urlfilter.least_share(0, 5) == pytest.approx(0) and urlfilter.least_share(50, 100) < 0.5
