@@ -4,7 +4,8 @@ A shard's file is a Parquet file with a row per segment (about ``segment_tokens`
 between documents); its ``matrix`` cell is self-contained: a header, then bit-planes, the
 highest bit first, in zstandard-compressed blocks of 2**16 bits with a rank directory.
 ``WaveletMatrix`` reads it: access, rank, select, counting in a range, occurrence lookup
-and bulk decoding.  Point reads decompress only the blocks they touch.
+and bulk decoding.  Point reads decompress only the blocks they touch.  ``Shard`` does the
+same over all segments of a file, and ``occurrences`` over all files at once.
 
 Spark writes the files, so any file system it knows serves, and a task that runs again
 replaces its file.
@@ -169,6 +170,78 @@ class WaveletMatrix:
         return values.astype(np.uint32)
 
 
+class Shard:
+    """The ids of one shard's file as one sequence; segments are (start, matrix bytes).
+    A segment's bytes are parsed when first touched."""
+
+    def __init__(self, segments: list[tuple[int, bytes]]):
+        segments = sorted(segments, key=lambda s: s[0])
+        self.starts = np.array([a for a, _ in segments], np.int64)
+        self._raw = [raw for _, raw in segments]
+        self._open: dict[int, WaveletMatrix] = {}
+        self.n = int(self.starts[-1]) + self._at(len(segments) - 1).n if segments else 0
+
+    def _at(self, k: int) -> WaveletMatrix:
+        if k not in self._open:
+            self._open[k] = WaveletMatrix(self._raw[k])
+        return self._open[k]
+
+    def access(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        k = int(np.searchsorted(self.starts, i, "right")) - 1
+        return self._at(k).access(i - int(self.starts[k]))
+
+    def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
+        """Occurrences of an id in [lo, hi)."""
+        hi = self.n if hi is None else min(hi, self.n)
+        total = 0
+        for k, start in enumerate(self.starts.tolist()):
+            m = self._at(k)
+            a, b = max(0, lo - start), min(m.n, hi - start)
+            total += m.count(value, a, b) if a < b else 0
+        return total
+
+    def rank(self, value: int, i: int) -> int:
+        return self.count(value, 0, i)
+
+    def select(self, value: int, k: int) -> int:
+        """Position of occurrence number k (from 0) of an id."""
+        if k >= 0:
+            for j, start in enumerate(self.starts.tolist()):
+                here = self._at(j).count(value)
+                if k < here:
+                    return start + self._at(j).select(value, k)
+                k -= here
+        raise IndexError(k)
+
+    def locate(self, value: int) -> list[int]:
+        return [start + i for k, start in enumerate(self.starts.tolist()) for i in self._at(k).locate(value)]
+
+    def decode(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint32), *(self._at(k).decode() for k in range(len(self._raw)))])
+
+
+def open_shard(spark, path: str, shard: int) -> Shard:
+    """A shard's file on the driver, compressed as it is."""
+    rows = spark.read.schema(FILE_SCHEMA).parquet(path).where(F.col("shard") == shard).select("shard_start", "matrix")
+    return Shard([(r.shard_start, bytes(r.matrix)) for r in rows.collect()])
+
+
+def occurrences(spark, path: str, value: int) -> DataFrame:
+    """(shard, position) of every occurrence of an id in all shards, position within the
+    shard; a task searches one segment at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = np.array(WaveletMatrix(batch.column("matrix")[k].as_py()).locate(value), np.int64) + batch.column("shard_start")[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("shard")[k].as_py(), np.int32)), pa.array(at)], names=["shard", "position"])
+
+    bound_batches(spark)
+    return spark.read.schema(FILE_SCHEMA).parquet(path).select("shard", "shard_start", "matrix").mapInArrow(run, "shard int, position long")
+
+
 FILE_SCHEMA = "shard int, segment int, shard_start long, doc_ids array<long>, n_tokens array<long>, matrix binary"
 
 

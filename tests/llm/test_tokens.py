@@ -119,6 +119,22 @@ def test_token_output(spark, library, tmp_path):
         want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+    every = [x for k, t, *_ in rows for x in [*ids_of(library, t), 2]]
+    shards, at, found = sorted({r.shard for r in spark.read.parquet(path).select("shard").collect()}), 0, []
+    assert max(spark.read.parquet(path).groupBy("shard").count().toPandas()["count"]) > 1  # several segments
+    for k in shards:
+        whole = wavelet.open_shard(spark, path, k)
+        own = every[at : at + whole.n]
+        assert whole.decode().tolist() == own and [whole.access(i) for i in range(whole.n)] == own
+        for v in (2, own[0], own[-1], 49_999):
+            places = [i for i, x in enumerate(own) if x == v]
+            assert whole.locate(v) == places and whole.count(v) == len(places)
+            assert [whole.select(v, i) for i in range(len(places))] == places
+            lo, hi = whole.n // 4, whole.n // 2
+            assert whole.count(v, lo, hi) == sum(lo <= i < hi for i in places) and whole.rank(v, hi) == sum(i < hi for i in places)
+        found += [(k, i) for i, x in enumerate(own) if x == 2]
+        at += whole.n
+    assert at == len(every) and sorted(map(tuple, wavelet.occurrences(spark, path, 2).collect())) == found
     assert wavelet.token_output(df.limit(0), P).count() == 0
 
 
