@@ -23,20 +23,34 @@ def weighted(weights: dict[str, float]) -> Column:
     return total / sum(weights.values())
 
 
-def arc_progress(trigger: Column, stages: Column, outcome: Column, entities: Column, relations: Column) -> Column:
+def arc_progress(trigger: Column, stages: Column, outcome: Column, entities: Column, relations: Column, complete: Column | None = None) -> Column:
     """Percent: 12 for a trigger, 7 a stage up to 42, 16 for an outcome, and up to 10 each
-    for entities and relations; 96 at most.  Broadly complete arcs have 90 at least."""
+    for entities and relations; 96 at most.  Broadly ``complete`` arcs have 90 at least."""
     few = lambda n: F.when(n > 0, F.least(F.lit(10), 4 + 2 * n)).otherwise(0)
-    return F.least(F.lit(96), F.when(trigger, 12).otherwise(0) + F.least(F.lit(42), 7 * stages) + F.when(outcome, 16).otherwise(0) + few(entities) + few(relations))
+    found = F.when(trigger, 12).otherwise(0) + F.least(F.lit(42), 7 * stages) + F.when(outcome, 16).otherwise(0) + few(entities) + few(relations)
+    if complete is not None:
+        found = F.when(complete, F.greatest(found, F.lit(90))).otherwise(found)
+    return F.least(F.lit(96), found)
 
 
-def story_progress(steps: Column, quality: Column, branches: Column, covered: Column, open_branches: Column, questions: Column) -> Column:
+#: What makes a story's steps good.
+QUALITY = {"continuity": 0.45, "coherence_gain": 0.35, "placement_confidence": 0.20}
+
+
+def story_quality(steps: DataFrame, story: str) -> DataFrame:
+    """(story, steps, quality): the weighted means of the steps' scores, nulls as 0."""
+    means = sum((F.avg(F.coalesce(F.col(name), F.lit(0.0))) * w for name, w in QUALITY.items()), F.lit(0.0))
+    return steps.groupBy(story).agg(F.count("*").alias("steps"), means.alias("quality"))
+
+
+def story_progress(steps: Column, quality: Column, branches: Column, covered: Column, open_branches: Column, questions: Column, closed: Column | None = None) -> Column:
     """Saturating in the number of steps, scaled by quality and branch coverage, less what
-    is open."""
+    is open; 100 for ``closed`` stories, whatever they hold."""
     base = 88 * (1 - F.exp(-steps / 4.5)) * (0.55 + 0.45 * quality)
     held = F.when(branches > 0, base * (0.68 + 0.32 * covered / branches) - 5 * open_branches).otherwise(base)
     done = F.least(F.lit(96.0), held - F.least(F.lit(18), 4 * questions))
-    return F.when(steps > 0, F.round(F.greatest(F.lit(0.0), done))).otherwise(0.0)
+    progress = F.when(steps > 0, F.round(F.greatest(F.lit(0.0), done))).otherwise(0.0)
+    return progress if closed is None else F.when(closed, 100.0).otherwise(progress)
 
 
 def declining(scores: DataFrame, key: str, step: str, score: str, drop: float = 0.10) -> DataFrame:

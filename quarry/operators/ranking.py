@@ -26,24 +26,26 @@ RELATION_PRIORITY = {
     "entrypoint": 55,
     "search": 45,
 }
+#: The same for plain symbols.
+SYMBOL_PRIORITY = {"calls": 100, "routes_to": 95, "writes": 90, "reads": 85, "called_by": 75, "entrypoint": 55, "search": 45}
 #: Names that look like entry points, and names that look like helpers.
 ENTRY_NAMES = "route|handler|controller|screen|transition|service|process|submit|create|place|checkout|order|approve|import|export|run|execute"
 HELPER_NAMES = "test|spec|mock|fixture|util|helper"
 ENTRY_KINDS = ["transition", "screen", "service"]
 
 
-def relation_priority(relation: Column) -> Column:
+def relation_priority(relation: Column, priorities: dict[str, int] | None = None) -> Column:
     out = F.lit(20)
-    for name, p in RELATION_PRIORITY.items():
+    for name, p in (priorities or RELATION_PRIORITY).items():
         out = F.when(relation == name, p).otherwise(out)
     return out
 
 
-def nearest(neighbours: DataFrame, most: int = 18) -> DataFrame:
-    """Per unit the closest targets, each under its best relation.
+def nearest(neighbours: DataFrame, most: int = 18, priorities: dict[str, int] | None = None) -> DataFrame:
+    """Per unit the closest other targets, each under its best relation.
     neighbours: src, dst, relation."""
-    p = relation_priority(F.col("relation"))
-    best = neighbours.groupBy("src", "dst").agg(F.max(p).alias("priority"), F.min_by("relation", F.struct((-p).alias("p"), F.col("relation").alias("r"))).alias("relation"))
+    p = relation_priority(F.col("relation"), priorities)
+    best = neighbours.where(F.col("src").cast("string") != F.col("dst").cast("string")).groupBy("src", "dst").agg(F.max(p).alias("priority"), F.min_by("relation", F.struct((-p).alias("p"), F.col("relation").alias("r"))).alias("relation"))
     w = Window.partitionBy("src").orderBy(F.desc("priority"), "dst")
     return best.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
 

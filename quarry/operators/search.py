@@ -69,6 +69,39 @@ def match_preview(tokens: DataFrame, matched: Column, keys: list[str], around: i
     return kept.withColumn("gap_before", F.coalesce(F.col("pos") - F.lag("pos").over(w) > 1, F.lit(False)))
 
 
+def _matches(candidate: Column, wanted: list[str]) -> Column:
+    """Whether a word list has a word that begins like a wanted one, or the other way round."""
+    hit = lambda q: F.exists(candidate, lambda c: (c == q) | ((F.length(c) >= 4) & F.lit(q).startswith(c)) | (c.startswith(q) if len(q) >= 4 else F.lit(False)))
+    out = F.lit(False)
+    for q in wanted:
+        out |= hit(q)
+    return out
+
+
+def path_previews(paths: DataFrame, keys: list[str], wanted: list[str], most: int = 13, first: int = 5) -> DataFrame:
+    """(keys, preview): tokens beside those that match a wanted word, with an ellipsis at each
+    gap and where more follow, ``most`` items; where none matches, the ``first`` tokens.
+    Only so many rows of a path meet in one.  paths: keys, tokens."""
+    tokens = paths.select(*keys, F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
+    near = match_preview(tokens, _matches(search_words(F.col("token")), wanted), keys)
+    k = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+    few = near.withColumn("k", k).where(F.col("k") <= most + 1)
+    rows = F.array_sort(F.collect_list(F.struct("pos", "gap_before", clip(F.col("token"), 160, ellipsis=False).alias("token"))))
+    held = few.groupBy(*keys, "n").agg(rows.alias("r"))
+    gap, none = F.array(F.lit("…")), F.array().cast("array<string>")
+    items = F.flatten(F.transform("r", lambda x: F.concat(F.when(x.gap_before, gap).otherwise(none), F.array(x.token))))
+    more = F.when(F.element_at("r", -1).pos < F.col("n") - 1, gap).otherwise(none)
+    found = held.select(*keys, F.slice(F.concat(items, more), 1, most).alias("found"))
+    return paths.join(found, keys, "left").select(*keys, F.coalesce("found", F.slice("tokens", 1, first)).alias("preview"))
+
+
+def term_count(rows: DataFrame, terms: list[str], most: int = 12) -> DataFrame:
+    """(id, score) of rows whose JSON holds the terms (eight at most), one point each."""
+    text = F.lower(F.to_json(F.struct(*(c for c in rows.columns if c != "id"))))
+    score = sum((F.when(F.contains(text, F.lit(t.lower())), 1).otherwise(0) for t in terms[:8]), F.lit(0))
+    return rows.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(most)
+
+
 #: Words that a question's theme adds to its own.
 THEMES = {
     "sell|sales|sold|revenue": ["order", "item", "quantity", "amount", "total", "price"],
