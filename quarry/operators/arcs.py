@@ -67,10 +67,15 @@ def last_rows(rows: DataFrame, key: str, step: str, most: int) -> DataFrame:
 
 def decay(scores: DataFrame, key: str, step: str, score: str) -> DataFrame:
     """Opportunity after all steps: seen, max(0.96 x before, score); a null score is a step
-    that didn't see the arc, 0.985 x before."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("k"), F.col(score).alias("s"))))
-    fold = lambda acc, x: F.when(x["s"].isNull(), acc * 0.985).otherwise(F.greatest(acc * 0.96, x["s"].cast("double")))
-    return scores.groupBy(key).agg(F.aggregate(rows, F.lit(0.0), fold).alias("opportunity"))
+    that didn't see the arc, 0.985 x before.
+
+    That is the greatest score, each shrunk by all the steps after it, so a sum of logarithms
+    over a window and a maximum do; no key's rows meet in one."""
+    after = Window.partitionBy(key).orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.count(score).over(after), F.lit(0))
+    steps = F.coalesce(F.count("*").over(after), F.lit(0))
+    shrunk = F.col(score).cast("double") * F.pow(F.lit(0.96), seen) * F.pow(F.lit(0.985), steps - seen)
+    return scores.select(key, shrunk.alias("_s")).groupBy(key).agg(F.greatest(F.lit(0.0), F.coalesce(F.max("_s"), F.lit(0.0))).alias("opportunity"))
 
 
 def fairness(opportunity: Column, age: Column) -> Column:

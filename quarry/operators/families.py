@@ -94,3 +94,24 @@ def path_families(paths: DataFrame) -> DataFrame:
 
     kind = dict(paths.dtypes)["id"]
     return rows.groupBy("block").applyInPandas(group, f"id {kind}, family {kind}, relation string")
+
+
+def merged_families(paths: DataFrame, families: DataFrame) -> DataFrame:
+    """(family, variants, entrances, duplicates, prefix, branches, suffix): each family as its
+    members stand to the representative.  Variants count the representative; the merged
+    structure is null where no member branches off, its branches are distinct.
+    paths: id, tokens, rank; families: as ``path_families`` gives."""
+    own = paths.select("id", "tokens", "rank")
+    heads = own.select(F.col("id").alias("family"), F.col("tokens").alias("head"))
+    rows = families.select("id", "family").join(own, "id").join(heads, "family")
+    relation, _, prefix, suffix = overlap_relation(F.col("head"), F.col("tokens"))
+    shaped = rows.where("id <> family").select("family", "rank", "id", "head", "tokens", relation.alias("relation"), prefix.alias("p"), suffix.alias("s"))
+    middle = lambda c: F.slice(c, F.col("p") + 1, F.greatest(F.lit(0), F.size(c) - F.col("p") - F.col("s")))
+    cut = F.struct("rank", "id", F.slice("head", F.lit(1), F.col("p")).alias("prefix"), F.array(middle("head"), middle("tokens")).alias("middles"), F.slice("head", F.size("head") - F.col("s") + 1, F.col("s")).alias("suffix"))
+    count = lambda r: F.count(F.when(F.col("relation") == r, 1))
+    all_ = shaped.groupBy("family").agg(count("branch").alias("b"), count("alternate_entrance").alias("e"), count("duplicate").alias("d"), F.array_sort(F.collect_list(F.when(F.col("relation") == "branch", cut))).alias("cuts"))
+    out = families.select("family").distinct().join(all_, "family", "left")
+    some, none = F.size("cuts") > 0, F.lit(0)
+    branches = F.array_distinct(F.filter(F.flatten(F.transform("cuts", lambda c: c.middles)), lambda m: F.size(m) > 0))
+    first = F.get("cuts", F.lit(0))
+    return out.select("family", (F.coalesce("b", none) + 1).alias("variants"), F.coalesce("e", none).alias("entrances"), F.coalesce("d", none).alias("duplicates"), F.when(some, first.prefix).alias("prefix"), F.when(some, branches).alias("branches"), F.when(some, first.suffix).alias("suffix"))

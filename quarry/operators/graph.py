@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.components import connected_components
 from quarry.runtime import materialise
 
 #: Relations along which execution flows.
@@ -68,10 +69,20 @@ def neighbourhood(edges: DataFrame, start: DataFrame, hops: int, undirected: boo
     return seen
 
 
-def maximal_paths(nodes: DataFrame, edges: DataFrame, deepest: int = 100, most: int = 1_000_000) -> DataFrame:
-    """All paths from the roots, and then from the least node not yet covered (a cycle has
-    no root), until every node is covered.  (path, terminal, target): a path ends at a leaf
-    (end) or before a node it already holds (cycle).
+def _least_of_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The least node of each connected part of some nodes."""
+    inside = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    parts = connected_components(inside, "src", "dst")
+    alone = nodes.join(parts.select(F.col("node").alias("id")), "id", "left_anti")
+    return parts.select(F.col("component").alias("id")).distinct().unionByName(alone.select("id"))
+
+
+def maximal_paths(nodes: DataFrame, edges: DataFrame, deepest: int = 100, most: int = 1_000_000, unresolved: DataFrame | None = None) -> DataFrame:
+    """All paths from the roots, and then from the least node of every part not yet covered
+    (a cycle has no root), until every node is covered.  (path, terminal, target): a path
+    ends at a leaf (end), before a node it already holds (cycle), or at a leaf that refers to
+    what is not there: external with the relations, and the names as its target.
+    unresolved: id, name, relation.
 
     Paths can be exponentially many: beyond ``deepest`` nodes or ``most`` rows an error is
     raised, nothing is cut off silently."""
@@ -82,7 +93,7 @@ def maximal_paths(nodes: DataFrame, edges: DataFrame, deepest: int = 100, most:
     left = materialise(nodes.select("id").distinct(), "nodes")
     seeds = left.join(e.select(F.col("dst").alias("id")), "id", "left_anti")
     if seeds.isEmpty():
-        seeds = left.agg(F.min("id").alias("id")).where("id IS NOT NULL")
+        seeds = _least_of_components(left, e)
     while True:
         live = seeds.select(F.array("id").alias("path"))
         depth = 1
@@ -102,9 +113,17 @@ def maximal_paths(nodes: DataFrame, edges: DataFrame, deepest: int = 100, most:
         if out is None:
             return left.select(F.array("id").alias("path"), F.lit("end").alias("terminal"), F.lit(None).cast("string").alias("target")).limit(0)
         left = materialise(left.join(out.select(F.explode("path").alias("id")).distinct(), "id", "left_anti"), "nodes")
-        seeds = left.agg(F.min("id").alias("id")).where("id IS NOT NULL")
-        if seeds.isEmpty():
-            return out
+        if left.isEmpty():
+            return out if unresolved is None else _external(out, unresolved)
+        seeds = _least_of_components(left, e)
+
+
+def _external(paths: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """Plain ends at nodes with unresolved executable references become external ones."""
+    refs = unresolved.where(F.col("relation").isin(EXECUTABLE)).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("relation")), "+").alias("how"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+    rows = paths.join(refs, F.element_at("path", -1) == F.col("id"), "left")
+    out = (F.col("terminal") == "end") & F.col("how").isNotNull()
+    return rows.select("path", F.when(out, F.concat(F.lit("external:"), "how")).otherwise(F.col("terminal")).alias("terminal"), F.when(out, F.col("names")).otherwise(F.col("target").cast("string")).alias("target"))
 
 
 def path_key(path: str = "path", terminal: str = "terminal"):

@@ -70,7 +70,7 @@ def without_builtins(refs: DataFrame, builtins: DataFrame, local: DataFrame) ->
     refs: language, name; builtins: language, name; local: name."""
     own = local.select(F.lower("name").alias("key")).distinct().withColumn("own", F.lit(True))
     hidden = builtins.select("language", F.lower("name").alias("key")).distinct().withColumn("hidden", F.lit(True))
-    rows = refs.withColumn("key", F.lower("name")).join(own, "key", "left").join(F.broadcast(hidden), ["language", "key"], "left")
+    rows = refs.withColumn("key", F.lower("name")).join(own, "key", "left").join(hidden, ["language", "key"], "left")
     return rows.where("own OR hidden IS NULL").drop("key", "own", "hidden")
 
 
@@ -200,6 +200,33 @@ def start_choice(entities: DataFrame, workflows: DataFrame) -> DataFrame:
     return both.orderBy(F.desc("score"), "kind", "name").limit(1).select("name", F.when(F.col("kind") == 0, "entity").otherwise("workflow").alias("kind"), "score")
 
 
+def resume_candidates(boundaries: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+    """(boundary, id, relation): where a walk goes on after an external reference: the other
+    targets of those who made it, a target once.  boundaries: boundary, caller; edges: src,
+    dst, relation, priority."""
+    rows = boundaries.distinct().join(edges, F.col("caller") == F.col("src")).where(F.col("dst") != F.col("boundary"))
+    best = rows.groupBy("boundary", "dst").agg(F.max_by("relation", "priority").alias("relation"), F.max("priority").alias("priority"))
+    w = Window.partitionBy("boundary").orderBy(F.desc("priority"), "dst")
+    return best.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("boundary", F.col("dst").alias("id"), "relation")
+
+
+def numbered_links(edges: DataFrame) -> DataFrame:
+    """Edges with ids made anew from their ends, relation and place among their source's."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("pos", "dst")) - 1
+    made = edges.withColumn("place", place)
+    return made.withColumn("id", F.concat(F.lit("relation:"), F.substring(F.sha1(F.concat_ws("|", "src", "relationship", "dst", F.col("place").cast("string"))), 1, 16)))
+
+
+def closed_workflows(arcs: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(arc, title, entities, steps): closed workflows with what the graph links to them.
+    arcs: arc, title, state; links: src, dst, relationship, pos; nodes: id, type, name."""
+    told = links.join(nodes, F.col("dst") == F.col("id")).join(arcs.where("state = 'closed'").select(F.col("arc").alias("src")), "src", "left_semi")
+    part = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("pos", "name")))), lambda x: x["name"])
+    held = told.groupBy(F.col("src").alias("arc")).agg(part("entity").alias("entities"), part("step").alias("steps"))
+    none = F.array().cast("array<string>")
+    return arcs.where("state = 'closed'").select("arc", "title").join(held, "arc", "left").select("arc", "title", F.coalesce("entities", none).alias("entities"), F.coalesce("steps", none).alias("steps"))
+
+
 def screen_links(units: DataFrame) -> DataFrame:
     """(id, url) of the addresses that markup units lead to."""
     return units.select("id", attribute(F.col("body"), "url").alias("url")).where("url <> ''")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.arrays import contains_run
 from quarry.functions.text import ascii_key, clamp01
 
 #: How close a related unit stands, by relation.
@@ -61,6 +60,26 @@ def entry_priority(name: Column, path: Column, kind: Column, incoming: Column, r
     )
 
 
+#: What synthetic units and structured markup add to an entry's priority.
+KIND_PRIORITY = {"module_init": 45, "ui_event": 50, "event": 50, "config_value": -30, "semantic_constant": -30, "environment_value": -30}
+STRUCTURE_PRIORITY = {
+    "xml_screen": 140, "screen": 140, "transition": 90, "module_init": 90, "ui_event": 90, "event": 90, "xml_actions": 55,
+    "xml_service_call": -70, "xml_entity_find": -70, "xml_entity_find_count": -70, "xml_entity_one": -70, "config_value": -45, "semantic_constant": -45, "environment_value": -45, "json_object": -45,
+}
+
+
+def kind_adjustment(kind: Column, structured: bool = False) -> Column:
+    """What a unit's kind adds to ``entry_priority``: synthetic units, and with ``structured``
+    what containers and call sites of markup add to that."""
+    out = F.lit(0)
+    for of in (KIND_PRIORITY, STRUCTURE_PRIORITY) if structured else (KIND_PRIORITY,):
+        part = F.lit(0)
+        for name, points in of.items():
+            part = F.when(kind == name, points).otherwise(part)
+        out = out + part
+    return out
+
+
 def coverage(units: DataFrame, visited: DataFrame) -> DataFrame:
     """Per source: units in all, visited and not.  units: source, id; visited: id."""
     seen = visited.select("id").distinct().withColumn("seen", F.lit(1))
@@ -132,12 +151,17 @@ def arc_state(closed: Column, calls: Column, details: Column) -> Column:
 def minimal_container(paths: DataFrame) -> DataFrame:
     """(child, parent): each path's shortest path that strictly contains it as a run.
 
-    Candidates share the child's first token, so pairs come from an equi-join.
+    Every proper run of a path is one hash; the best path of each hash is found before the
+    join, so a child meets one row and frequent tokens form no pairs.
     paths: id, tokens, ord."""
-    long = paths.select(F.col("id").alias("parent"), F.col("tokens").alias("pt"), F.col("ord").alias("po"), F.explode(F.array_distinct("tokens")).alias("key"))
-    short = paths.where(F.size("tokens") > 0).select(F.col("id").alias("child"), F.col("tokens").alias("ct"), F.get("tokens", F.lit(0)).alias("key"))
-    pairs = short.join(long, "key").where(F.col("child") != F.col("parent")).where(contains_run(F.col("pt"), F.col("ct"), strict=True))
-    return pairs.groupBy("child").agg(F.min_by("parent", F.struct(F.size("pt").alias("n"), F.col("po").alias("o"))).alias("parent"))
+    mark = lambda t: F.xxhash64(F.size(t), F.concat_ws("\x1e", t))
+    n = F.size("tokens")
+    starts = paths.where(n > 1).select("id", "ord", "tokens", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    room = F.least(F.col("n") - F.col("i") + 1, F.col("n") - 1)
+    runs = starts.select("id", "ord", "n", F.explode(F.transform(F.sequence(F.lit(1), room), lambda m: F.struct(m.alias("m"), F.slice("tokens", F.col("i"), m).alias("run")))).alias("r"))
+    best = runs.groupBy(mark(F.col("r.run")).alias("key")).agg(F.min_by("id", F.struct("n", "ord")).alias("parent"))
+    own = paths.where(n > 0).select(F.col("id").alias("child"), mark(F.col("tokens")).alias("key"))
+    return own.join(best, "key").select("child", "parent")
 
 
 def path_of_symbol(paths: DataFrame) -> DataFrame:
@@ -159,10 +183,11 @@ def running_usage(calls: DataFrame, key: str, order: str, columns: list[str]) ->
     return calls.select(key, order, *(F.sum(c).over(w).alias(f"total_{c}") for c in columns))
 
 
-def candidate_schemas(names: DataFrame, schemas: DataFrame, fields: DataFrame, most: int = 8) -> DataFrame:
+def candidate_schemas(names: DataFrame, schemas: DataFrame, fields: DataFrame, most: int = 8, context: DataFrame | None = None) -> DataFrame:
     """Schemas that a business name may mean: 8 if they begin with it, 5 if they contain it,
-    3 more if they have its id as a field.  names: name; schemas: schema; fields: schema,
-    field.
+    3 more if they have its id as a field; 10 if the same workflow uses them, 9 if a related
+    one stores the name in them, where that is more.  names: name; schemas: schema; fields:
+    schema, field; context: name, schema, how (workflow or representation).
 
     A schema contains a name's key only if one of its substrings of the key's length equals
     it, so candidates come from an equi-join on substrings, not from a cross join."""
@@ -175,5 +200,9 @@ def candidate_schemas(names: DataFrame, schemas: DataFrame, fields: DataFrame, m
     ids = fields.select("schema", ascii_key(F.col("field")).alias("fk")).distinct()
     by_id = wanted.select("name", "key", F.concat("key", F.lit("id")).alias("fk")).join(ids, "fk").where(ascii_key(F.col("schema")) != F.col("key")).select("name", "schema", F.lit(3).alias("score")).distinct()
     both = by_name.unionByName(by_id).groupBy("name", "schema").agg(F.sum("score").alias("score"))
+    if context is not None:
+        points = F.when(F.col("how") == "workflow", 10).otherwise(9)
+        near = context.where(ascii_key(F.col("schema")) != ascii_key(F.col("name"))).select("name", "schema", points.cast("long").alias("score"))
+        both = both.unionByName(near.join(wanted.select("name").distinct(), "name", "left_semi")).groupBy("name", "schema").agg(F.max("score").alias("score"))
     w = Window.partitionBy("name").orderBy(F.desc("score"), "schema")
     return both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)

@@ -69,7 +69,7 @@ def evidence_depth(spark, sf_dir):
     return c.select("custkey", dims.alias("dimensions"), ok.alias("sufficient"), ranking.closure(F.lit(True), F.col("st") > 0, pending, ok).alias("closure"))
 
 
-_ROLES = "SELECT conv_id AS id, list(role || ':' || left(text, 1) ORDER BY turn) AS t FROM conversations GROUP BY 1"
+_ROLES = "SELECT conv_id AS id, list(role || ':' || md5(text) ORDER BY turn) AS t FROM conversations GROUP BY 1"
 
 
 @query(f"""WITH p AS ({_ROLES}), c AS (SELECT a.id AS child, b.id AS parent, len(b.t) AS n FROM p a JOIN p b ON a.id <> b.id AND len(b.t) > len(a.t) AND list_contains(b.t, a.t[1])
@@ -91,11 +91,22 @@ def usage_rollup(spark, sf_dir):
     return ranking.running_usage(c, "conv_id", "turn", ["prompt", "calls"])
 
 
-@query("""WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS name FROM part), s AS (SELECT DISTINCT replace(p_name, ' ', '') AS schema FROM part UNION SELECT DISTINCT p_type FROM part),
-c AS (SELECT name, schema, CASE WHEN starts_with(lower(schema), lower(name)) THEN 8 ELSE 5 END AS score FROM w JOIN s ON contains(lower(schema), lower(name)) AND lower(schema) <> lower(name))
-SELECT * FROM (SELECT name, schema, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, schema) AS k FROM c) WHERE k <= 8""")
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part), s AS (SELECT DISTINCT replace(p_name, ' ', '') AS schema FROM part UNION SELECT DISTINCT p_type FROM part),
+f AS (SELECT DISTINCT p_type AS schema, lower(unnest(string_split(p_name, ' '))) || 'id' AS field FROM part WHERE p_size > 45),
+c AS (SELECT name, schema, CASE WHEN starts_with(lower(schema), lower(name)) THEN 8 ELSE 5 END AS score FROM w JOIN s ON contains(lower(schema), lower(name)) AND lower(schema) <> lower(name)
+ UNION ALL SELECT name, schema, 3 FROM w JOIN f ON field = lower(name) || 'id' WHERE lower(schema) <> lower(name)),
+b AS (SELECT name, schema, sum(score) AS score FROM c GROUP BY 1, 2 UNION ALL SELECT DISTINCT unnest(string_split(p_name, ' ')), p_brand, 9 FROM part WHERE p_size = 50)
+SELECT * FROM (SELECT name, schema, max(score) AS score, row_number() OVER (PARTITION BY name ORDER BY max(score) DESC, schema) AS k FROM b GROUP BY 1, 2) WHERE k <= 8""")
 def candidate_schemas(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    names = p.select(F.get(F.split("p_name", " "), F.lit(1)).alias("name")).distinct()
+    word = F.explode(F.split("p_name", " ")).alias("name")
     schemas = p.select(F.regexp_replace("p_name", " ", "").alias("schema")).union(p.select("p_type")).distinct()
-    return ranking.candidate_schemas(names, schemas, schemas.limit(0).select("schema", F.col("schema").alias("field")))
+    fields = p.where("p_size > 45").select(F.col("p_type").alias("schema"), word).select("schema", F.concat("name", F.lit("Id")).alias("field"))
+    stored = p.where("p_size = 50").select(word, F.col("p_brand").alias("schema"), F.lit("representation").alias("how")).distinct()
+    return ranking.candidate_schemas(p.select(word).distinct(), schemas, fields, context=stored)
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 45 WHEN 'click' THEN 50 WHEN 'error' THEN -30 ELSE 0 END AS plain, CASE event_type WHEN 'view' THEN 135 WHEN 'click' THEN 140 WHEN 'error' THEN -75 WHEN 'signup' THEN 140 ELSE -70 END AS structured FROM events""")
+def kind_adjustments(spark, sf_dir):
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'module_init' WHEN 'click' THEN 'ui_event' WHEN 'error' THEN 'config_value' WHEN 'signup' THEN 'screen' ELSE 'xml_entity_one' END")
+    return table(spark, sf_dir, "events").select("event_id", ranking.kind_adjustment(kind).alias("plain"), ranking.kind_adjustment(kind, structured=True).alias("structured"))

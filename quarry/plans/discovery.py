@@ -18,11 +18,22 @@ KEYS = {
     "region": ["r_regionkey", "r_name"],
     "supplier": ["s_suppkey", "s_name", "s_nationkey"],
 }
+#: The other tables' columns of whole numbers and text.
+OTHERS = {
+    "benchmark": ["item_id", "text"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "label"],
+    "events": ["event_id", "user_id", "event_type", "props"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "pages": ["page_id", "url", "html"],
+}
 _PAIRS = [(t, c) for t, cs in KEYS.items() for c in cs]
 _VALUES = " UNION ALL ".join(f"SELECT '{t}' AS dataset, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {t}" for t, c in _PAIRS)
+_EVERY = " UNION ALL ".join(f"SELECT '{t}' AS dataset, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {t}" for t, cs in (KEYS | OTHERS).items() for c in cs)
 _DISTINCT = f"vals AS (SELECT DISTINCT dataset, col, v FROM ({_VALUES}) WHERE v IS NOT NULL AND v <> '')"
 _PROFILE = f"""
-WITH raw AS ({_VALUES}), {_DISTINCT},
+WITH raw AS ({_EVERY}), vals AS (SELECT DISTINCT dataset, col, v FROM raw WHERE v IS NOT NULL AND v <> ''),
 first AS (SELECT dataset, col, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY dataset, col ORDER BY v) AS k FROM vals) WHERE k <= 5 GROUP BY 1, 2),
 stats AS (SELECT dataset, col, count(*) AS n, count(NULLIF(v, '')) AS non_null, count(DISTINCT NULLIF(v, '')) AS n_distinct FROM raw GROUP BY 1, 2)
 SELECT s.dataset, s.col AS column_name, non_null, round(1 - non_null / greatest(1, n), 4) AS null_rate, n_distinct, round(n_distinct / greatest(1, non_null), 4) AS uniqueness, coalesce(samples, '') AS samples
@@ -39,7 +50,8 @@ def star(spark, sf_dir):
 
 @query(_PROFILE)
 def column_profile(spark, sf_dir):
-    p = profile.column_profile(star(spark, sf_dir))
+    others = {t: table(spark, sf_dir, t).select(*cs) for t, cs in OTHERS.items()}
+    p = profile.column_profile(star(spark, sf_dir) | others)
     return p.select("dataset", F.col("column").alias("column_name"), "non_null", "null_rate", F.col("distinct").alias("n_distinct"), "uniqueness", F.array_join("samples", "|").alias("samples"))
 
 

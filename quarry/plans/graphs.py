@@ -158,13 +158,13 @@ def run_compression(spark, sf_dir):
     return e.select("user_id", F.array_join(arrays.compress_runs(F.col("t")), ">").alias("tokens"))
 
 
-_ROLES = """SELECT conv_id AS id, list(role || ':' || left(text, 1) ORDER BY turn) AS t FROM conversations GROUP BY 1"""
+_ROLES = """SELECT conv_id AS id, list(role || ':' || md5(text) ORDER BY turn) AS t FROM conversations GROUP BY 1"""
 
 
 def role_paths(spark, sf_dir):
-    """Per conversation its turns in order, each as the role and the first character."""
+    """Per conversation its turns in order, each as the role and a hash of the whole text."""
     c = table(spark, sf_dir, "conversations")
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.substring("text", 1, 1)).alias("x"))))
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.md5("text")).alias("x"))))
     return c.groupBy(F.col("conv_id").alias("id")).agg(F.transform(rows, lambda r: r.x).alias("tokens"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import arrays, text
 from quarry.operators import evidence, extract, incremental
 from quarry.plans.registry import query
-from quarry.runtime import table
+from quarry.runtime import scratch_path, table
 from quarry.sources import files
 
 _STRENGTHS = "CASE event_type WHEN 'view' THEN 0.35 WHEN 'click' THEN 0.52 WHEN 'signup' THEN 0.78 WHEN 'purchase' THEN 0.9 ELSE 0.1 END"
@@ -26,13 +26,12 @@ def evidence_dedupe(spark, sf_dir):
     return evidence.dedupe_evidence(e, ["user_id", "event_type", "props"]).drop("seq")
 
 
-@query("""WITH d AS (SELECT lang, source, doc_id, n_chars, substr(text, 1, 2) AS alias FROM documents),
-a AS (SELECT lang, source, alias, min(doc_id) AS s FROM d WHERE alias IS NOT NULL GROUP BY 1, 2, 3)
-SELECT l.lang, l.source, l.n_chars, x.aliases FROM (SELECT lang, source, arg_max(n_chars, doc_id) AS n_chars FROM d GROUP BY 1, 2) l
-JOIN (SELECT lang, source, string_agg(alias, '|' ORDER BY s, alias) AS aliases FROM a GROUP BY 1, 2) x ON l.lang = x.lang AND l.source = x.source""")
+@query("""WITH a AS (SELECT o_custkey, o_orderstatus, o_orderpriority AS alias, min(o_orderkey) AS s FROM orders GROUP BY 1, 2, 3)
+SELECT l.o_custkey, l.o_orderstatus, l.o_totalprice, x.aliases FROM (SELECT o_custkey, o_orderstatus, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2) l
+JOIN (SELECT o_custkey, o_orderstatus, string_agg(alias, '|' ORDER BY s, alias) AS aliases FROM a GROUP BY 1, 2) x ON l.o_custkey = x.o_custkey AND l.o_orderstatus = x.o_orderstatus""")
 def object_upsert(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", "source", "n_chars", F.substring("text", 1, 2).alias("alias"), F.col("doc_id").alias("seq"))
-    return evidence.merge_objects(d, ["lang", "source"], ["n_chars"], "alias").withColumn("aliases", F.array_join("aliases", "|"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderpriority").alias("alias"), F.col("o_orderkey").alias("seq"))
+    return evidence.merge_objects(o, ["o_custkey", "o_orderstatus"], ["o_totalprice"], "alias").withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query("SELECT o_custkey AS \"from\", o_orderstatus AS relation, o_orderpriority AS \"to\", arg_max(o_totalprice, o_orderkey) AS o_totalprice, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2, 3")
@@ -41,11 +40,11 @@ def relation_collapse(spark, sf_dir):
     return evidence.collapse_relations(o).drop("seq")
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS word FROM documents)
-SELECT lower(word) AS key, arg_min(word, (CAST(word = lower(word) AS INT) * 1000000000000 + doc_id)) AS canonical FROM w WHERE word <> '' GROUP BY 1""")
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[ \\n]')) AS word FROM documents)
+SELECT key, word AS canonical FROM (SELECT lower(word) AS key, word, row_number() OVER (PARTITION BY lower(word) ORDER BY word = lower(word), doc_id, word) AS k FROM w WHERE word <> '') WHERE k = 1""")
 def entity_canonical(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.get(F.split("text", " "), F.lit(0)).alias("word"), F.col("doc_id").alias("seq")).where("word <> ''")
-    return evidence.canonical_names(w.withColumn("key", F.lower("word")), "key", "word")
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \\n]")).alias("word"), "doc_id").where("word <> ''")
+    return evidence.canonical_names(w.withColumn("key", F.lower("word")).withColumn("seq", F.struct("doc_id", "word")), "key", "word")
 
 
 @query(r"SELECT url, regexp_replace(lower(url), '[^\p{L}\p{N}]+', '', 'g') AS identity, regexp_replace(lower(url), '[^a-z0-9]+', '', 'g') AS ascii FROM pages")
@@ -168,8 +167,11 @@ def evidence_files(spark, sf_dir):
 
 @query("SELECT conv_id, count(*) AS events, string_agg(role, '>' ORDER BY turn) AS roles, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1")
 def episode_replay(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    """The conversations, appended to an event log as an episode and read back."""
+    log = scratch_path(spark, "episodes")
+    files.append_events(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), log, files.next_number(spark, log))
+    c = files.read_events(spark, log, files.numbers(spark, log)[-1], "conv_id long, turn long, role string")
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role")))  # the turns of one conversation
     return c.groupBy("conv_id").agg(F.count("*").alias("events"), F.array_join(F.transform(rows, lambda r: r.role), ">").alias("roles"), F.max_by("role", "turn").alias("last_role"))
 
 
@@ -186,9 +188,10 @@ def ordered_union(spark, sf_dir):
     return e.select("user_id", F.array_join(F.array_sort(arrays.ordered_union(F.col("a"), F.col("b"))), ",").alias("items"))
 
 
-@query("SELECT path, kind, name FROM (SELECT DISTINCT source AS path, CASE WHEN lang = 'en' THEN 'dir' ELSE 'file' END AS kind, lang AS name FROM documents)")
+@query("""WITH p AS (SELECT regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+$', '') AS path FROM pages), h AS (SELECT min(string_split(path, '/')[1]) AS h FROM p WHERE contains(path, '/')),
+r AS (SELECT substr(path, length(h) + 2) AS r FROM p, h WHERE starts_with(path, h || '/'))
+SELECT DISTINCT CASE WHEN contains(r, '/') THEN 'dir' ELSE 'file' END AS kind, string_split(r, '/')[1] AS name FROM r WHERE r <> '' ORDER BY kind, name LIMIT 120""")
 def directory_listing(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    paths = d.select("source", F.when(F.col("lang") == "en", F.concat_ws("/", "lang", "doc_id")).otherwise(F.col("lang")).alias("rest"))
-    kind = F.when(F.contains("rest", F.lit("/")), "dir").otherwise("file")
-    return paths.select(F.col("source").alias("path"), kind.alias("kind"), F.substring_index("rest", "/", 1).alias("name")).distinct()
+    paths = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_extract("url", "://([^?#]*)", 1), "/+$", "").alias("path"))
+    host = paths.where(F.contains("path", F.lit("/"))).agg(F.min(F.substring_index("path", "/", 1))).first()[0]
+    return files.list_directory(paths, host or "")

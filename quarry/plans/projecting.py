@@ -16,13 +16,13 @@ def page_links(spark, sf_dir):
     return p.groupBy("id").agg(F.count("*").alias("links"), F.count_distinct("url").alias("targets"))
 
 
-@query("""WITH k AS (SELECT DISTINCT event_type AS language, props AS name FROM events WHERE value > 200), o AS (SELECT DISTINCT props AS name FROM events WHERE user_id % 2 = 0 AND value < 0.2)
+@query("""WITH k AS (SELECT DISTINCT event_type AS language, props AS name FROM events WHERE value > 200), o AS (SELECT DISTINCT props AS name FROM events WHERE event_type <> 'view' AND value < 0.2)
 SELECT event_id, event_type AS language, props AS name FROM events e WHERE props IN (SELECT name FROM o) OR NOT EXISTS (SELECT 1 FROM k WHERE k.language = e.event_type AND k.name = e.props)""")
 def builtin_filter(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     refs = e.select("event_id", F.col("event_type").alias("language"), F.col("props").alias("name"))
     hidden = e.where("value > 200").select(F.col("event_type").alias("language"), F.col("props").alias("name"))
-    return knowledge.without_builtins(refs, hidden, e.where("user_id % 2 = 0 AND value < 0.2").select(F.col("props").alias("name")))
+    return knowledge.without_builtins(refs, hidden, e.where("event_type <> 'view' AND value < 0.2").select(F.col("props").alias("name")))
 
 
 @query("SELECT c_custkey AS name, n_name AS schema FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -54,10 +54,11 @@ def widening_window(spark, sf_dir):
     return knowledge.unseen_first(o, table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("id")))
 
 
-@query("SELECT count(*) FILTER (l IS NOT NULL) AS learned, count(*) AS total, CAST(round(100 * count(*) FILTER (l IS NOT NULL) / count(*)) AS INT) AS percent FROM (SELECT DISTINCT d.doc_id, l.doc_id AS l FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)")
+@query("SELECT count(*) FILTER (l IS NOT NULL) AS learned, count(*) AS total, CAST(round(100 * count(*) FILTER (l IS NOT NULL) / count(*)) AS INT) AS percent FROM (SELECT DISTINCT d.doc_id, l.doc_id AS l FROM documents d LEFT JOIN (SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE n_chars > 5000) l ON l.doc_id = d.doc_id)")
 def learning_coverage(spark, sf_dir):
     d, x = (table(spark, sf_dir, t).select(F.col("doc_id").alias("path")) for t in ("documents", "labels"))
-    return knowledge.learned_share(d, x, x.limit(0))
+    arcs = table(spark, sf_dir, "documents").where("n_chars > 5000").select(F.col("doc_id").alias("path"))
+    return knowledge.learned_share(d, x, arcs)
 
 
 @query("""SELECT event_type AS "from", props AS relation, CAST(user_id % 10 AS VARCHAR) AS "to", arg_min(event_id, CASE WHEN value > 100 THEN 0 ELSE 1 END * 1000000000 + event_id) AS seq FROM events GROUP BY 1, 2, 3""")

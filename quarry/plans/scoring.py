@@ -121,7 +121,7 @@ def stream_windows(spark, sf_dir):
     from quarry.streaming import replay
 
     source = table(spark, sf_dir, "events")
-    stream = replay.event_stream(spark, sf_dir, source.schema, glob="events.parquet")
+    stream = replay.table_stream(spark, sf_dir, "events", source.schema)
     name = "windows_" + scratch_path(spark, "").rpartition("-")[2]
     out = replay.run_to_memory(replay.windowed_counts(stream), name, "complete", scratch_path(spark, "stream"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.runtime import materialise
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -74,15 +76,72 @@ def list_directory(files: DataFrame, folder: str, most: int = 120) -> DataFrame:
     return inside.select(kind.alias("kind"), F.substring_index("r", "/", 1).alias("name")).distinct().orderBy("kind", "name").limit(most)
 
 
-def directory_preview(files: DataFrame, depth: int = 1) -> DataFrame:
-    """Per directory down to a depth: files below, files directly inside, and counts by
-    extension."""
+def directory_preview(files: DataFrame, depth: int = 1, first: int = 8) -> DataFrame:
+    """Per directory down to a depth: files below, files and directories directly inside,
+    counts by extension, and the names of the first files."""
     parts = F.split("path", "/")
     dirs = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(depth))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     each = files.where(F.size(parts) > 1).select("path", F.explode(dirs).alias("dir"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("ext"))
-    direct = F.size(F.split("path", "/")) == F.size(F.split("dir", "/")) + 1
+    rest = F.expr("substring(path, length(dir) + 2)")
+    direct = ~F.contains(rest, F.lit("/"))
     by_ext = each.groupBy("dir", "ext").agg(F.count("*").alias("n"), F.sum(direct.cast("int")).alias("d"))
-    return by_ext.groupBy("dir").agg(F.sum("n").alias("descendants"), F.sum("d").alias("direct_files"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("extensions"))
+    counts = by_ext.groupBy("dir").agg(F.sum("n").alias("descendants"), F.sum("d").alias("direct_files"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("extensions"))
+    inner = each.where(~direct).groupBy("dir").agg(F.count_distinct(F.substring_index(rest, "/", 1)).alias("direct_dirs"))
+    w = Window.partitionBy("dir").orderBy("name")
+    names = each.where(direct).select("dir", rest.alias("name")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= first)
+    held = names.groupBy("dir").agg(F.array_sort(F.collect_list("name")).alias("files"))
+    rows = counts.join(inner, "dir", "left").join(held, "dir", "left")
+    return rows.select("dir", "descendants", "direct_files", F.coalesce("direct_dirs", F.lit(0)).alias("direct_dirs"), "extensions", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
+
+
+def dependencies(components: DataFrame) -> DataFrame:
+    """(component, name) of what component files say they depend on.  components: component,
+    text."""
+    named = F.regexp_extract_all("text", F.lit(r"(?i)<depends-on\b[^>]*?\bname=[\"']([^\"']+)[\"']"), 1)
+    built = F.regexp_extract_all("text", F.lit(r"runtime:component:([A-Za-z0-9_.-]+)"), 1)
+    return components.select("component", F.explode(F.array_distinct(F.concat(built, named))).alias("name"))
+
+
+def reachable(start: DataFrame, depends: DataFrame, deepest: int = 100) -> DataFrame:
+    """All components that some depend on, directly or not, themselves included.  A round per
+    step of the longest chain; more than ``deepest`` raise an error.  start: component;
+    depends: component, name."""
+    seen = materialise(start.select("component").distinct(), "reached")
+    edge = seen
+    for _ in range(deepest):
+        step = edge.join(depends, "component").select(F.col("name").alias("component")).distinct()
+        edge = materialise(step.join(seen, "component", "left_anti"), "reached")
+        if edge.isEmpty():
+            return seen
+        seen = seen.unionByName(edge)
+    raise ValueError(f"a chain of dependencies has over {deepest} steps")
+
+
+def attach_missing(hits: DataFrame, extra_hits: DataFrame, order: DataFrame, most: int = 3) -> DataFrame:
+    """Hits of each query; where a query has none, those of the first of its ``most`` extra
+    sources that has any.  hits: query, hit; extra_hits: query, source, hit; order: source, ord."""
+    few = order.orderBy("ord").limit(most)
+    lost = extra_hits.join(hits.select("query").distinct(), "query", "left_anti").join(F.broadcast(few), "source")
+    least = lost.groupBy("query").agg(F.min("ord").alias("ord"))
+    return hits.select("query", "hit").unionByName(lost.join(least, ["query", "ord"]).select("query", "hit"))
+
+
+#: What a knowledge store holds, and what of it lasts when it is written.
+STORE = {"status": "idle", "repository": "", "workflows": "[]", "checkpoints": "{}", "events": "[]", "plan": "{}"}
+TRANSIENT = ("status", "events", "plan")
+
+
+def load_store(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The newest stored state over the defaults; without one, the defaults."""
+    saved = read_newest(spark, folder)
+    rows = {r["key"]: r["value"] for r in saved.collect()} if saved is not None else {}  # a row per key
+    return STORE | {k: v for k, v in rows.items() if k in STORE and k not in TRANSIENT and v is not None}
+
+
+def save_store(spark: SparkSession, folder: str, state: dict[str, str]) -> int:
+    """Write a new version of what lasts; writing the defaults resets the store."""
+    lasting = [(k, v) for k, v in state.items() if k in STORE and k not in TRANSIENT]
+    return write_version(spark.createDataFrame(lasting, "key string, value string"), folder)
 
 
 def write_version(df: DataFrame, folder: str) -> int:

@@ -13,6 +13,14 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return event_stream(spark, f"{folder}/{name}.parquet", schema)
+    return event_stream(spark, folder, schema, glob=f"{name}.parquet")
+
+
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event type and window, with a watermark for late events."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
