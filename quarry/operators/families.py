@@ -61,14 +61,42 @@ def _shape(a: list, b: list) -> str:
     return "independent"
 
 
-def greedy_groups(rows: pd.DataFrame) -> pd.DataFrame:
+def _loose_shape(a: list, b: list) -> str:
+    """The looser test: long common ends, or nearly the same sequence."""
+    if a == b:
+        return "duplicate"
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    if n < 3:
+        return "independent"
+    ends = [next((k for k in range(n) if x[k] != y[k]), n) for x, y in ((a, b), (a[::-1], b[::-1]))]
+    if ends[1] >= 3 and ends[1] >= 0.8 * n and len(long) - ends[1] <= 2:
+        return "alternate_entrance"
+    if ends[0] >= 3 and ends[0] >= 0.75 * n:
+        return "branch"
+    if len(long) - n <= 2 and any(long[k : k + n] == short for k in range(len(long) - n + 1)):
+        return "normalized_variant"
+    runs = [0] * (len(b) + 1)
+    best = 0
+    for x in a:
+        runs = [0] + [runs[k] + 1 if x == y else 0 for k, y in enumerate(b)]
+        best = max(best, *runs)
+    return "normalized_variant" if best >= 3 and best >= 0.8 * n and len(long) - best <= 2 else "independent"
+
+
+#: What may merge, and the test of two sequences, by how strict a grouping is.
+SHAPES = {"strict": (_shape, MERGEABLE), "loose": (_loose_shape, ["duplicate", "alternate_entrance", "branch", "normalized_variant"])}
+
+
+def greedy_groups(rows: pd.DataFrame, how: str = "strict") -> pd.DataFrame:
     """Rows in rank order; each joins the first group with any member it merges with."""
+    shape_of, mergeable = SHAPES[how]
     groups: list[list] = []
     of, relation = [], []
     for tokens in rows["tokens"]:
         tokens = list(tokens)
         for k, members in enumerate(groups):
-            shape = next((s for m in members if (s := _shape(m, tokens)) in MERGEABLE), None)
+            shape = next((s for m in members if (s := shape_of(m, tokens)) in mergeable), None)
             if shape:
                 members.append(tokens)
                 of.append(k), relation.append(shape)
@@ -96,6 +124,28 @@ def path_families(paths: DataFrame) -> DataFrame:
     return rows.groupBy("block").applyInPandas(group, f"id {kind}, family {kind}, relation string")
 
 
+def loose_families(paths: DataFrame) -> DataFrame:
+    """(id, family, relation) by the looser test.  What it merges shares a run of three
+    tokens that covers most of the shorter sequence, so blocks are the connected parts of
+    sequences with a common run of three; the greedy order is kept inside them.
+    paths: id, tokens, rank."""
+    kind = dict(paths.dtypes)["id"]
+    n = F.size("tokens")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.concat_ws("\x1e", F.slice("tokens", i, F.lit(3))))
+    keys = F.concat(F.array(F.concat(F.lit("="), F.concat_ws("\x1e", "tokens"))), F.when(n >= 3, runs).otherwise(F.array().cast("array<string>")))
+    keyed = paths.where(n > 0).select("id", F.explode(F.array_distinct(keys)).alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1")
+    blocks = connected_components(keyed.join(heads, "key").select(F.col("head").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), "component")
+    rows = paths.join(blocks, "id", "left").withColumn("block", F.coalesce("component", "id")).select("id", "tokens", "rank", "block")
+
+    def group(block: pd.DataFrame) -> pd.DataFrame:
+        block = greedy_groups(block.sort_values(["rank", "id"]).reset_index(drop=True), "loose")
+        first = block.groupby("group")["id"].first()
+        return pd.DataFrame({"id": block["id"], "family": block["group"].map(first), "relation": block["relation"]})
+
+    return rows.groupBy("block").applyInPandas(group, f"id {kind}, family {kind}, relation string")
+
+
 def merged_families(paths: DataFrame, families: DataFrame) -> DataFrame:
     """(family, variants, entrances, duplicates, prefix, branches, suffix): each family as its
     members stand to the representative.  Variants count the representative; the merged

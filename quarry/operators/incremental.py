@@ -72,6 +72,43 @@ def uncovered(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     return both.withColumn("reach", F.last("end", ignorenulls=True).over(w)).where((F.col("kind") == 1) & (F.col("reach").isNull() | (F.col("reach") < F.col("line")))).select("source", "line")
 
 
+def module_bodies(files: DataFrame, ranges: DataFrame, most: int = 80) -> DataFrame:
+    """(source, line, body): what a file does outside its symbols: the first ``most`` lines
+    that aren't empty or comments, and where they begin.  files: source, text; ranges: source,
+    start, end."""
+    lines = files.select("source", F.posexplode(F.split("text", r"\r?\n")).alias("at", "text")).select("source", (F.col("at") + 1).cast("long").alias("line"), "text")
+    said = lines.where((F.trim("text") != "") & ~F.col("text").rlike(r"^\s*(?://|/\*|\*|#)"))
+    out = uncovered(said.select("source", "line"), ranges)
+    w = Window.partitionBy("source").orderBy("line")
+    few = out.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).join(said, ["source", "line"])
+    rows = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return few.groupBy("source").agg(F.min("line").alias("line"), F.array_join(F.transform(rows, lambda r: r.text), "\n").alias("body"))
+
+
+def description_targets(entities: DataFrame, fields: DataFrame, each: int = 18, total: int = 54, most: int = 5) -> DataFrame:
+    """(entity, pos, field): fields that lack a description, ``each`` of an entity, ``total``
+    in all, of ``most`` entities.  Entities and their fields come in order; an entity that the
+    budget cuts gets what is left of it.  entities: entity, ord; fields: entity, pos, field,
+    description."""
+    bare = fields.where(F.coalesce(F.trim("description"), F.lit("")) == "").join(entities, "entity")
+    w = Window.partitionBy("entity").orderBy("pos")
+    few = bare.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each)
+    first = few.select("ord", "entity").distinct().orderBy("ord", "entity").limit(most)
+    return few.join(F.broadcast(first), ["ord", "entity"], "left_semi").orderBy("ord", "entity", "k").limit(total).select("entity", "pos", "field")
+
+
+def passes(batch, most: int = 3) -> int:
+    """Run a batch (a function that says how much it changed) until it changes nothing, at
+    most so often; all that changed."""
+    changed = 0
+    for _ in range(most):
+        n = batch()
+        changed += n
+        if not n:
+            break
+    return changed
+
+
 def budgeted(rows: DataFrame, group: Column | str, order: list, each: int, total: int) -> DataFrame:
     """At most ``each`` rows of a group and ``total`` in all, in order."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -42,12 +42,39 @@ def parameters(signature: Column) -> Column:
     return F.filter(bare, lambda p: p != "")
 
 
-def canonical_packet(symbols: DataFrame) -> DataFrame:
-    """What a unit takes, does and tests.  symbols: id, signature, body."""
-    calls = F.array_distinct(F.regexp_extract_all("body", F.lit(r"\b([A-Za-z_$][\w$.]*)\s*\("), 1))
-    conditions = F.array_distinct(F.regexp_extract_all("body", F.lit(r"\bif\s*\(([^)]{1,160})\)"), 1))
-    returns = F.array_distinct(F.regexp_extract_all("body", F.lit(r"\breturn\s+([^;\n]{1,120})"), 1))
-    return symbols.select("id", parameters(F.col("signature")).alias("inputs"), returns.alias("outputs"), F.filter(calls, lambda c: ~c.isin("if", "for", "while", "switch", "catch", "return", "function")).alias("operations"), conditions.alias("conditions"))
+#: Relations that change something outside a unit.
+EFFECTS = "writes routes_to publishes_event triggers handles on_success on_error delayed_trigger".split()
+
+
+def _found(pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all("body", F.lit(pattern), group)
+
+
+def canonical_packet(symbols: DataFrame, references: DataFrame | None = None, most: int = 100) -> DataFrame:
+    """(id, inputs, outputs, operations, conditions, effects, provenance) of units: what they
+    take, give, do, test and change, and where they stand.  Operations and effects come from
+    the unit's first ``most`` references, as relation:target; without any it just executes.
+    symbols: id, signature, body, and if known path, start_line, end_line; references: id,
+    pos, relation, name."""
+    inputs = F.array_distinct(F.concat(parameters(F.col("signature")), _found(r"<parameter\b[^>]*\bname=[\"']([^\"']+)[\"']")))
+    outputs = F.array_distinct(F.concat(_found(r"\breturn\s+([A-Za-z_$][\w$]*)"), _found(r"\b(?:out-map|list|count|to-field)=[\"']([^\"']+)[\"']")))
+    fields = F.transform(_found(r"<econdition\b([^>]*)>"), lambda t: F.concat_ws("=", F.nullif(F.regexp_extract(t, r"\bfield-name=[\"']([^\"']+)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"\b(?:value|from)=[\"']([^\"']+)", 1), F.lit(""))))
+    conditions = F.array_distinct(F.concat(F.transform(_found(r"\bif\s*\(([^)]+)\)"), F.trim), _found(r"\bcondition=[\"']([^\"']+)[\"']"), F.filter(fields, lambda f: f != "")))
+    rows = symbols
+    for c, kind in (("path", "string"), ("start_line", "int"), ("end_line", "int")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    none = F.array().cast("array<string>")
+    if references is None:
+        rows = rows.withColumn("does", none).withColumn("changes", none)
+    else:
+        w = Window.partitionBy("id").orderBy("pos")
+        few = references.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("id", "k", "relation", F.concat_ws(":", "relation", "name").alias("r"))
+        said = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.r)
+        held = few.groupBy("id").agg(said(F.struct("k", "r")).alias("does"), said(F.when(F.col("relation").isin(EFFECTS), F.struct("k", "r"))).alias("changes"))
+        rows = rows.join(held, "id", "left")
+    does = F.when(F.size(F.coalesce("does", none)) > 0, F.col("does")).otherwise(F.array(F.lit("execute")))
+    return rows.select("id", inputs.alias("inputs"), outputs.alias("outputs"), does.alias("operations"), conditions.alias("conditions"), F.coalesce("changes", none).alias("effects"), F.struct("path", "start_line", "end_line").alias("provenance"))
 
 
 def entity_names(text: Column) -> Column:

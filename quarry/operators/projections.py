@@ -419,3 +419,45 @@ def fallback_answer(selected: DataFrame, most: int = 5) -> DataFrame:
     rows = selected.select("session").distinct().join(names, "session", "left")
     said = F.when(F.size("names") > 0, F.concat(F.lit("The walk found "), F.array_join("names", ", "), F.lit(", but no view with their fields was completed."))).otherwise("The walk found too few fields for a reliable view.")
     return rows.select("session", F.lit("data_analytics").alias("intent"), F.coalesce(said, F.lit("The walk found too few fields for a reliable view.")).alias("answer"))
+
+
+def entity_nodes(wanted: DataFrame, fields: DataFrame, relations: DataFrame, uses: DataFrame, most: int = 18) -> DataFrame:
+    """(name, fields, connected, workflows) of entities that a walk opens: their best fields,
+    the entities beside them and the workflows that use them, ``most`` of each.
+    wanted: name; fields: entity, field, score; relations: from, to; uses: arc, entity."""
+    key = lambda c: label_key(F.col(c)).alias("key")
+    w = wanted.select("name", key("name")).dropDuplicates(["key"])
+    best = fields.groupBy(key("entity"), "field").agg(F.max("score").alias("score"))
+    f = listed(best, ["key"], [F.desc("score"), "field"], most, F.col("field"), "fields")
+    both = relations.select(key("from"), F.trim("to").alias("other")).unionByName(relations.select(key("to"), F.trim("from").alias("other")))
+    c = listed(both.where(label_key(F.col("other")) != F.col("key")).distinct(), ["key"], ["other"], most, F.col("other"), "connected")
+    u = listed(uses.select("arc", key("entity")).distinct(), ["key"], ["arc"], most, F.col("arc").cast("string"), "workflows")
+    none = F.array().cast("array<string>")
+    rows = w.join(f, "key", "left").join(c, "key", "left").join(u, "key", "left")
+    return rows.select("name", *(F.coalesce(x, none).alias(x) for x in ("fields", "connected", "workflows")))
+
+
+def workflow_nodes(wanted: DataFrame, steps: DataFrame, uses: DataFrame, most: int = 8) -> DataFrame:
+    """(arc, steps, entities, related) of workflows that a walk opens: all steps in order, the
+    entities, and ``most`` other workflows that share one.  An entity that everyone uses pairs
+    with the wanted workflows only.  wanted: arc; steps: arc, ord, step; uses: arc, entity."""
+    key = lambda c: label_key(F.col(c)).alias("key")
+    w = wanted.select("arc").distinct()
+    used = uses.select("arc", F.trim("entity").alias("entity"), key("entity")).dropDuplicates(["arc", "key"])
+    own = used.join(w, "arc", "left_semi")
+    s = listed(steps.join(w, "arc", "left_semi"), ["arc"], ["ord", "step"], 1 << 20, F.col("step"), "steps")
+    e = listed(own, ["arc"], ["entity"], 1 << 20, F.col("entity"), "entities")
+    shared = own.select("arc", "key").join(used.select(F.col("arc").alias("other"), "key"), "key").where("arc <> other").groupBy("arc", "other").agg(F.count("*").alias("n"))
+    r = listed(shared, ["arc"], [F.desc("n"), "other"], most, F.col("other").cast("string"), "related")
+    none = F.array().cast("array<string>")
+    rows = w.join(s, "arc", "left").join(e, "arc", "left").join(r, "arc", "left")
+    return rows.select("arc", *(F.coalesce(x, none).alias(x) for x in ("steps", "entities", "related")))
+
+
+def retained(picks: DataFrame, shown: DataFrame) -> DataFrame:
+    """Links that were picked and are on the screen, as they are shown there; a pick may name
+    a link's ends the other way round.  picks: from, to; shown: from, relation, to."""
+    ends = picks.select(label_key(F.col("from")).alias("a"), label_key(F.col("to")).alias("b"))
+    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    seen = shown.withColumn("a", label_key(F.col("from"))).withColumn("b", label_key(F.col("to")))
+    return seen.join(both, ["a", "b"], "left_semi").drop("a", "b").distinct()

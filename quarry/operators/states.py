@@ -395,3 +395,15 @@ def restored(runs: DataFrame) -> DataFrame:
     and whether its run was asked to stop after it.  runs: repo, saved, snapshot, valid, stop."""
     ok = runs.groupBy("repo").agg(F.max_by(F.struct("snapshot", "saved"), F.when(F.coalesce("valid", F.lit(False)), F.col("saved"))).alias("s"), F.max(F.when(F.coalesce("stop", F.lit(False)), F.col("saved"))).alias("asked"))
     return ok.where("s.snapshot IS NOT NULL").select("repo", "s.snapshot", F.coalesce(F.col("asked") >= F.col("s.saved"), F.lit(False)).alias("stopped"))
+
+
+def scout_loop(ranked: DataFrame, judged: DataFrame, size: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(reviewed paths, the window's promoted path): windows of ``size`` paths by rank are
+    looked at until one holds a path that is judged worth an arc; the best of that window.
+    ranked: path, rank (from 0, without gaps); judged: path, promoted, worth."""
+    rows = ranked.join(judged, "path", "left").withColumn("window", F.floor(F.col("rank") / size))
+    good = rows.where(F.coalesce("promoted", F.lit(False)))
+    first = good.agg(F.min("window").alias("until"))
+    seen = rows.join(F.broadcast(first)).where(F.col("until").isNull() | (F.col("window") <= F.col("until")))
+    best = good.join(F.broadcast(first), F.col("window") == F.col("until")).orderBy(F.desc("worth"), "rank").limit(1)
+    return seen.select("path"), best.select("path")

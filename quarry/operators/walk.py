@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXPANSIONS = 8
+#: A node with more edges is no place to walk through: an error says so.
+WIDEST = 10_000
 
 
 @dataclass
@@ -30,7 +32,9 @@ class Walk:
         self.open.pop(node, None)
         self.current = node
         self.visited.append(node)
-        rows = sorted(map(tuple, self.edges.where((F.col("src") == node) | (F.col("dst") == node)).select("src", "relation", "dst").distinct().collect()))
+        rows = sorted(map(tuple, self.edges.where((F.col("src") == node) | (F.col("dst") == node)).select("src", "relation", "dst").distinct().limit(WIDEST + 1).collect()))
+        if len(rows) > WIDEST:
+            raise ValueError(f"{node} has over {WIDEST} edges")
         self.kept += [r for r in rows if r not in self.kept]
         for a, _, b in rows:
             other = b if a == node else a
