@@ -53,20 +53,22 @@ def _found(pattern: str, group: int = 1) -> Column:
 def canonical_packet(symbols: DataFrame, references: DataFrame | None = None, most: int = 100) -> DataFrame:
     """(id, inputs, outputs, operations, conditions, effects, provenance) of units: what they
     take, give, do, test and change, and where they stand.  Operations and effects come from
-    the unit's first ``most`` references, as relation:target; without any it just executes.
+    the unit's first ``most`` references, as relation:target; where no references are given,
+    operations are the names that the body calls.  A unit with neither just executes.
     symbols: id, signature, body, and if known path, start_line, end_line; references: id,
     pos, relation, name."""
     inputs = F.array_distinct(F.concat(parameters(F.col("signature")), _found(r"<parameter\b[^>]*\bname=[\"']([^\"']+)[\"']")))
     outputs = F.array_distinct(F.concat(_found(r"\breturn\s+([A-Za-z_$][\w$]*)"), _found(r"\b(?:out-map|list|count|to-field)=[\"']([^\"']+)[\"']")))
     fields = F.transform(_found(r"<econdition\b([^>]*)>"), lambda t: F.concat_ws("=", F.nullif(F.regexp_extract(t, r"\bfield-name=[\"']([^\"']+)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"\b(?:value|from)=[\"']([^\"']+)", 1), F.lit(""))))
-    conditions = F.array_distinct(F.concat(F.transform(_found(r"\bif\s*\(([^)]+)\)"), F.trim), _found(r"\bcondition=[\"']([^\"']+)[\"']"), F.filter(fields, lambda f: f != "")))
+    conditions = F.array_distinct(F.concat(F.transform(_found(r"\bif\s*\(([^)]+)\)"), lambda c: F.trim(c)), _found(r"\bcondition=[\"']([^\"']+)[\"']"), F.filter(fields, lambda f: f != "")))
     rows = symbols
     for c, kind in (("path", "string"), ("start_line", "int"), ("end_line", "int")):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast(kind))
     none = F.array().cast("array<string>")
     if references is None:
-        rows = rows.withColumn("does", none).withColumn("changes", none)
+        calls = F.array_distinct(_found(r"\b([A-Za-z_$][\w$.]*)\s*\("))
+        rows = rows.withColumn("does", F.filter(calls, lambda c: ~c.isin("if", "for", "while", "switch", "catch", "return", "function"))).withColumn("changes", none)
     else:
         w = Window.partitionBy("id").orderBy("pos")
         few = references.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("id", "k", "relation", F.concat_ws(":", "relation", "name").alias("r"))
