@@ -72,13 +72,13 @@ def hypothesis_states(spark, sf_dir):
     return states.hypotheses(seeds, said).select("run", "key", F.round("confidence", 6).alias("confidence"), "evidence", "status", "id")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS arc, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS step, CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_quantity AS INT) END AS branch, [CAST(l_quantity AS INT), CAST(l_suppkey AS INT)] AS unresolved, CASE l_linestatus WHEN 'F' THEN 'complete' ELSE 'inspect_branches' END AS action FROM lineitem),
+@query("""WITH c AS (SELECT o_custkey AS arc, o_orderkey AS step, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderkey % 7 AS INT) END AS branch, [CAST(o_orderkey % 7 AS INT), CAST(floor(o_totalprice) % 9 AS INT)] AS unresolved, CASE o_orderpriority WHEN '1-URGENT' THEN 'complete' ELSE 'inspect_branches' END AS action FROM orders),
 s AS (SELECT arc, count(*) FILTER (branch IS NULL) AS whole_calls, count(branch) AS branch_calls, coalesce(list_sort(list(DISTINCT branch) FILTER (branch IS NOT NULL)), []) AS interpreted, arg_max(unresolved, step) AS u, arg_max(action, step) AS action, arg_max(coalesce(branch, -1), step) AS last FROM c GROUP BY 1),
 p AS (SELECT *, list_sort(list_distinct(list_filter(u, lambda x: NOT list_contains(interpreted, x)))) AS pending FROM s)
 SELECT arc, whole_calls, branch_calls, array_to_string(interpreted, ',') AS interpreted, array_to_string(pending, ',') AS pending, action = 'complete' OR (last >= 0 AND len(pending) = 0) AS completed FROM p""")
 def flow_states(spark, sf_dir):
-    n = F.col("l_quantity").cast("int")
-    calls = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("arc"), (F.col("l_linenumber") * F.lit(1000000000000) + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("step"), F.when(F.col("l_returnflag") != "N", n).alias("branch"), F.array(n, F.col("l_suppkey").cast("int")).alias("unresolved"), F.when(F.col("l_linestatus") == "F", "complete").otherwise("inspect_branches").alias("action"))
+    n = (F.col("o_orderkey") % 7).cast("int")
+    calls = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("arc"), F.col("o_orderkey").alias("step"), F.when(F.col("o_orderstatus") != "P", n).alias("branch"), F.array(n, (F.floor("o_totalprice") % 9).cast("int")).alias("unresolved"), F.when(F.col("o_orderpriority") == "1-URGENT", "complete").otherwise("inspect_branches").alias("action"))
     return states.flow_states(calls).withColumn("interpreted", F.array_join("interpreted", ",")).withColumn("pending", F.array_join("pending", ","))
 
 
