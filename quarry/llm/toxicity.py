@@ -98,7 +98,8 @@ def _contrast(ordinary: list[list[str]], toxic: list[list[str]], n: int, ratio:
     for part in (ordinary, toxic):
         count = np.zeros(1 << _BITS, np.float32)
         for group in part:
-            count[np.unique(np.concatenate([_codes(_data(t), n) for t in group]))] += 1
+            # An index that repeats is raised once, so this counts groups.
+            count[np.concatenate([_codes(_data(t), n) for t in group])] += 1
         held.append(count)
     out = np.zeros(1 << _BITS, np.float32)
     share = len(toxic) / (len(ordinary) + len(toxic))
