@@ -320,3 +320,35 @@ def test_scores_follow_the_definition():
         odds = [model.odds[min(toxicity.HIGHEST, max(toxicity.LOWEST, length(model.ordinary, w) - length(model.toxic, w))) - toxicity.LOWEST] for w in parts]
         z = np.array([sum(odds), np.log1p(len(parts)), 1.0]) @ np.array(model.weights)
         assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 150) for _ in range(3))
+    rows = [(1, a), (1, b), (None, c), (None, c + " end"), (2, a), (2, a), (3, None), (4, "")]
+    folder = f"file://{tmp_path}"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rep string, own int")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    kept = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (None, min((c, c + " end"), key=lambda t: spark.sql("SELECT xxhash64(:t)", args={"t": t}).first()[0]))])
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(((r.doc_id for r in pieces)), key=str) == [1, 1, None]
+
+
+def test_heavy_groups_go_to_their_rows(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY", 3)
+    monkeypatch.setattr(sharding, "HEAVY", 3)
+    links, root = brute(texts)
+    got = {r.doc_id: r for r in jaccard.near_duplicates(docs).collect()}
+    assert [(got[k].n_links, got[k].class_id) for k in range(len(texts))] == [(links[k], root[k]) for k in range(len(texts))]
+    shards = defaultdict(set)
+    rows = sharding.kd_shards(docs, leaves=8).collect()
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    assert len(rows) == len(texts) and all(len(s) == 1 for s in shards.values())
