@@ -86,9 +86,17 @@ def op10_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op13_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.annulus import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"), dims=64, k=8, rounds=10, seed=3, scale=1024)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quarry.llm import sql
+
+    return {"op13_annulus_clusters": sql.centroids(dims=64, k=8, rounds=10, seed=3, scale=1024)}
