@@ -86,6 +86,12 @@ def op10_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"), every=199, shortest=6, least=5, times=5)
+
+
 def op13_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.annulus import clustered
 
@@ -99,4 +105,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from quarry.llm import sql
 
-    return {"op13_annulus_clusters": sql.centroids(dims=64, k=8, rounds=10, seed=3, scale=1024)}
+    return {"op11_spelling_variants": sql.spellings(every=199, shortest=6, least=5, times=5), "op13_annulus_clusters": sql.centroids(dims=64, k=8, rounds=10, seed=3, scale=1024)}
