@@ -92,6 +92,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"), every=199, shortest=6, least=5, times=5)
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.license import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op13_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.annulus import clustered
 
