@@ -3,35 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.arrays import common_prefix, common_suffix
 from quarry.operators.components import connected_components
+from quarry.operators.settling import first_groups, overlap_relation
 
 MERGEABLE = ["duplicate", "branch", "alternate_entrance"]
 
 
-def overlap_relation(a: Column, b: Column) -> tuple[Column, Column, Column, Column]:
-    """(relation, ratio, prefix length, suffix length) of two token arrays."""
-    shorter = F.least(F.size(a), F.size(b))
-    prefix = common_prefix(a, b)
-    suffix = common_suffix(a, b, prefix)
-    same = a == b
-    pr, sr = prefix / shorter, suffix / shorter
-    heads = F.greatest(F.size(a), F.size(b)) - suffix
-    relation = (
-        F.when(shorter <= 0, "independent")
-        .when(same, "duplicate")
-        .when((prefix >= 2) & (pr > 0.5), "branch")
-        .when((suffix >= 2) & (sr > 0.5) & (heads <= 2), "alternate_entrance")
-        .when((suffix >= 2) & (sr > 0.5), "shared_subflow")
-        .otherwise("independent")
-    )
-    ratio = F.when(shorter <= 0, 0.0).when(same, 1.0).when(relation == "branch", pr).when(relation.isin("alternate_entrance", "shared_subflow"), sr).otherwise(F.greatest(pr, sr))
-    return relation, ratio, F.when(shorter <= 0, 0).otherwise(prefix), F.when((shorter <= 0) | same, 0).otherwise(suffix)
-
-
 def overlap_pairs(paths: DataFrame) -> DataFrame:
     """Shapes of the pairs that can merge or share a subflow.  Both need two equal tokens
     at the beginning or at the end, so pairs come from those keys.  paths: id, tokens."""
@@ -108,20 +88,9 @@ def greedy_groups(rows: pd.DataFrame, how: str = "strict") -> pd.DataFrame:
 
 
 def path_families(paths: DataFrame) -> DataFrame:
-    """(id, family, relation).  The greedy order is kept inside connected blocks of pairs
-    that can merge, and only there does it matter: blocks are independent, so they run in
-    parallel.  paths: id, tokens, rank."""
-    links = overlap_pairs(paths).where(F.col("relation").isin(MERGEABLE))
-    blocks = connected_components(links).select(F.col("node").alias("id"), "component")
-    rows = paths.join(blocks, "id", "left").withColumn("block", F.coalesce("component", "id")).select("id", "tokens", "rank", "block")
-
-    def group(block: pd.DataFrame) -> pd.DataFrame:
-        block = greedy_groups(block.sort_values(["rank", "id"]).reset_index(drop=True))
-        first = block.groupby("group")["id"].first()
-        return pd.DataFrame({"id": block["id"], "family": block["group"].map(first), "relation": block["relation"]})
-
-    kind = dict(paths.dtypes)["id"]
-    return rows.groupBy("block").applyInPandas(group, f"id {kind}, family {kind}, relation string")
+    """(id, family, relation): what the greedy order over all paths gives, found by channels.
+    paths: id, tokens, rank."""
+    return first_groups(paths)
 
 
 def loose_families(paths: DataFrame) -> DataFrame:

@@ -55,8 +55,10 @@ def _eliminate(edges: DataFrame, inner_only: bool) -> tuple[list[DataFrame], Dat
         if inner_only:
             few &= (F.col("n_in") > 0) & (F.col("n_out") > 0)
         able = sides.groupBy("id").agg(n_in.alias("n_in"), n_out.alias("n_out")).where(few)
-        # The order of a round is a hash, so that about a third of a chain goes at once.
-        able = materialise(able.select("id", F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id").alias("turn")), "able")
+        # Cheap nodes go first, so a hub doesn't hold back the many beside it; among equals the
+        # order is a hash, so that about a third of a chain goes at once.
+        cost = F.ceil(F.log2(F.col("n_in") * F.col("n_out") + 1))
+        able = materialise(able.select("id", F.struct(cost.alias("c"), F.xxhash64("id", F.lit(k)).alias("h"), "id").alias("turn")), "able")
         if able.isEmpty():
             discard(able)
             return rounds, edges

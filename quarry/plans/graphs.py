@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays, text
-from quarry.operators import families, graph
+from quarry.operators import families, graph, path_counts
+from quarry.operators.path_counts import PathGraph
 from quarry.plans.registry import query
 from quarry.runtime import table
 
@@ -91,6 +92,36 @@ def maximal_paths_cycle(spark, sf_dir):
     return graph.maximal_paths(ends(e), e).select(F.array_join("path", ">").alias("path"), "terminal", "target")
 
 
+def supply(spark, sf_dir):
+    """Regions, nations, suppliers, parts and brands as a graph without cycles."""
+    id_ = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    made = table(spark, sf_dir, "lineitem").select(id_("S", "l_suppkey").alias("src"), id_("P", "l_partkey").alias("dst")).distinct()
+    brands = table(spark, sf_dir, "part").select(id_("P", "p_partkey").alias("src"), F.col("p_brand").alias("dst"))
+    return tree(spark, sf_dir).unionByName(made).unionByName(brands)
+
+
+@query("""WITH s AS (SELECT DISTINCT 'R' || n_regionkey AS root, l_suppkey AS s FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+u AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), d AS (SELECT s.root, p_brand AS leaf, count(*) AS n FROM s JOIN u USING (s) JOIN part ON p_partkey = p GROUP BY 1, 2),
+x AS (SELECT 'R' || n_regionkey AS root, 'S' || s_suppkey AS leaf, 1 AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey NOT IN (SELECT s FROM u)
+ UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey, 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
+ UNION ALL SELECT 'P' || p_partkey, p_brand, 1 FROM part WHERE p_partkey NOT IN (SELECT p FROM u) UNION ALL SELECT 'S' || s, p_brand, count(*) FROM u JOIN part ON p_partkey = p WHERE s NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2)
+SELECT root, leaf, CAST(n AS BIGINT) AS paths FROM d UNION ALL SELECT root, leaf, CAST(n AS BIGINT) FROM x""")
+def path_pair_counts(spark, sf_dir):
+    e = supply(spark, sf_dir)
+    return PathGraph(ends(e), e).pairs().withColumn("paths", F.col("paths").cast("long"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT user_id || ':' || props AS id FROM events), e AS (SELECT DISTINCT src, dst FROM (SELECT user_id || ':' || props AS src, lead(user_id || ':' || props) OVER (PARTITION BY user_id ORDER BY event_id) AS dst, value FROM events) WHERE dst IS NOT NULL AND value > 15),
+r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
+SELECT n.id, coalesce(min(x.b), n.id) AS part FROM n LEFT JOIN (SELECT x.a, least(x.a, x.b) AS b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a) x ON x.a = n.id GROUP BY n.id""")
+def strong_parts(spark, sf_dir):
+    """Each user's artifacts by the steps that lead from one to another and back."""
+    own = F.concat_ws(":", F.col("user_id").cast("string"), "props")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf_dir, "events").select(own.alias("id"), F.lead(own).over(w).alias("dst"), "value")
+    return path_counts.strong_parts(rows.select("id"), rows.where("dst IS NOT NULL AND value > 15").select(F.col("id").alias("src"), "dst"))
+
+
 _SUFFIXED = f"WITH {_DAG_PATHS}, x AS (SELECT path FROM m UNION ALL SELECT list_slice(path, 2, len(path)) FROM m WHERE len(path) > 1)"
 
 
@@ -197,6 +228,15 @@ def families_of(conversations):
     return members.alias("m").join(found.alias("f"), F.col("m.least") == F.col("f.id")).select("m.id", "f.family", relation.alias("relation"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT conv_id AS id, list(role || ':' || coalesce(md5(text), '') ORDER BY turn) AS t FROM conversations GROUP BY 1),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY len(t) DESC, id) AS pos FROM (SELECT t, min(id) AS id FROM w GROUP BY t)),
+l AS (SELECT a.pos AS a, b.pos AS b, a.t AS x, b.t AS y, least(len(a.t), len(b.t)) AS s, len(list_filter(range(1, least(len(a.t), len(b.t)) + 1), lambda i: list_slice(a.t, 1, i) = list_slice(b.t, 1, i))) AS p,
+ len(list_filter(range(1, least(len(a.t), len(b.t)) + 1), lambda i: list_slice(a.t, -i, -1) = list_slice(b.t, -i, -1))) AS q FROM o a JOIN o b ON a.pos < b.pos AND (a.t[1] = b.t[1] OR a.t[-1] = b.t[-1])),
+e AS MATERIALIZED (SELECT a, b, CASE WHEN p >= 2 AND p / s > 0.5 THEN 'branch' ELSE 'alternate_entrance' END AS relation FROM (SELECT *, greatest(0, least(q, s - p)) AS f FROM l)
+ WHERE (p >= 2 AND p / s > 0.5) OR (f >= 2 AND f / s > 0.5 AND greatest(len(x), len(y)) - f <= 2)),
+r AS (SELECT pos, pos AS to_ FROM o UNION SELECT r.pos, e.a FROM r JOIN e ON e.b = r.to_),
+g AS MATERIALIZED (SELECT pos, min(to_) AS head FROM r GROUP BY pos),
+m AS (SELECT e.b AS pos, arg_min(e.relation, e.a) AS relation FROM e JOIN g x ON x.pos = e.a JOIN g y ON y.pos = e.b WHERE x.head = y.head GROUP BY 1)
+SELECT w.id, h.id AS family, CASE WHEN w.id <> o.id THEN 'duplicate' WHEN g.head = o.pos THEN 'representative' ELSE m.relation END AS relation FROM w JOIN o ON o.t = w.t JOIN g ON g.pos = o.pos JOIN o h ON h.pos = g.head LEFT JOIN m ON m.pos = o.pos""")
 def path_families(spark, sf_dir):
     return families_of(table(spark, sf_dir, "conversations"))

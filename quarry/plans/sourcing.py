@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import arrays
 from quarry.operators import assembly, extract, graph, incremental, knowledge, projections, ranking
 from quarry.plans.registry import query
-from quarry.runtime import scratch_path, table
+from quarry.runtime import positions, scratch_path, table
 from quarry.sources import files
 
 
@@ -365,10 +365,7 @@ def not_attempted(spark, sf_dir):
 @query("""WITH o AS (SELECT o_custkey, o_totalprice, o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), f AS (SELECT * FROM o ORDER BY rank LIMIT 60)
 SELECT o_custkey AS entry, min(rank) AS rank, arg_min(o_orderkey, rank) AS best, len(list(rank)) - 1 AS others FROM f GROUP BY 1""")
 def scout_groups(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(500)  # a report's depth; ranks beyond aren't asked for
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")))
+    ranked = positions(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"]).withColumn("rank", F.col("pos") + 1)
     g = ranking.scout_groups(ranked.select(F.col("o_custkey").alias("entry"), F.col("o_orderkey").alias("id"), "rank"), 20, branches=60)
     return g.select("entry", "rank", "best", F.size("branches").alias("others"))
 
@@ -381,11 +378,9 @@ def start_choice(spark, sf_dir):
 
 @query("""SELECT arc, row_number() OVER (ORDER BY priority DESC, started, opportunity DESC, created) AS place FROM (SELECT s_suppkey AS arc, s_nationkey AS priority, s_acctbal < 0 AS started, s_acctbal AS opportunity, s_suppkey AS created FROM supplier WHERE s_acctbal < 9000)""")
 def unfinished_arcs(spark, sf_dir):
-    from pyspark.sql import Window
-
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("arc"), F.col("s_nationkey").cast("double").alias("priority"), (F.col("s_acctbal") < 0).alias("started"), (F.col("s_acctbal") >= 9000).alias("completed"), F.col("s_acctbal").alias("opportunity"), F.col("s_suppkey").alias("created"))
-    place = F.row_number().over(Window.orderBy(F.desc("priority"), "started", F.desc("opportunity"), "created"))
-    return ranking.unfinished(s).select("arc", place.alias("place"))
+    placed = positions(ranking.unfinished(s), [F.desc("priority"), "started", F.desc("opportunity"), "created"])
+    return placed.select("arc", (F.col("pos") + 1).alias("place"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'cycle' WHEN o_orderpriority = '1-URGENT' THEN 'reuse' ELSE 'new' END AS edge FROM orders""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def positions(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """``df`` with ``name``: each row's place, from 0 and without gaps, in an order of all rows.
+
+    Rows are dealt by ranges of the order and sorted there; a partition's rows are counted on,
+    and no task sees more than its range.  Rows that tie in the whole order get any of their
+    places."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    rows = materialise(dealt.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ordered")
+    # A row per partition.
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bound the bytes of a batch that goes to a Python worker, for this session: rows may
     be long, and a batch of 10,000 of them needn't fit in memory."""
