@@ -7,8 +7,8 @@ The renderer emits all other text: inline white space collapses, blocks stand ap
 line around paragraphs, headings, lists and tables; a line break around other blocks),
 list items carry bullets or numbers and are indented by depth, table cells are padded so
 that columns align (over columns and rows that cells span), and preformatted text keeps its
-spaces.  A table row whose cells hold line breaks, or more than ``WIDE`` signs, is written
-one cell below the other instead.
+spaces.  Margins stop growing at ``DEEPEST`` signs.  A table row whose cells hold line breaks, or more than ``WIDE`` signs, is written
+one cell below the other instead; a table that would be mostly padding isn't aligned.
 
 Visible are also the text of formulas and drawings, open dialogs, the labels of button
 inputs, and what stands in an object without data.
@@ -20,11 +20,14 @@ after ``=``; nesting may be of any depth; very long pages are read whole.
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 import sys
-from collections import Counter
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,9 @@ from pyspark.sql import functions as F
 from quarry.runtime import bound_batches
 
 WIDE = 200
+#: Margins grow no further than this; spans count up to this many columns; padding that a table
+#: may have in any case.
+DEEPEST, COLUMNS, PADDING = 64, 1024, 10_000
 
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -95,20 +101,25 @@ class Element:
 def parse(page: str) -> tuple[Element, int]:
     """The tree of a page and its depth; character references in text are resolved."""
     root = Element("html")
-    stack, open_ = [root], Counter()
+    stack: list[Element] = [root]
+    open_: defaultdict[str, list[int]] = defaultdict(list)  # by tag, the stack's places
     deepest = 1
 
     def push(element: Element) -> None:
         nonlocal deepest
+        open_[element.tag].append(len(stack))
         stack.append(element)
-        open_[element.tag] += 1
         deepest = max(deepest, len(stack))
 
     def pop_to(k: int) -> None:
         for element in stack[k:]:
-            open_[element.tag] -= 1
+            open_[element.tag].pop()
         del stack[k:]
 
+    def last(tags) -> int:
+        """The place of the innermost open element of some tags, 0 without one."""
+        return max((open_[t][-1] for t in tags if open_[t]), default=0)
+
     def text(piece: str) -> None:
         if piece:
             if stack[-1].tag == "head" and piece.strip():
@@ -126,12 +137,9 @@ def parse(page: str) -> tuple[Element, int]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
-                if stack[k].tag in BORDERS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            k = last((tag,))
+            if k and (tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or last(BORDERS) <= k):
+                pop_to(k)
             if tag == "br":
                 stack[-1].children.append(Element("br"))
             continue
@@ -145,25 +153,18 @@ def parse(page: str) -> tuple[Element, int]:
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             pop_to(len(stack) - 1)
-        if tag in CLOSES_P and open_["p"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in BORDERS:
-                    break
+        if tag in CLOSES_P and last(BORDERS) < last(("p",)):
+            pop_to(last(("p",)))
         if tag in IMPLIED:
             ends, border = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in border:
+            one = tag in ("li", "dt", "dd", "option", "td", "th")
+            while (k := last(ends)) > last(border):
+                pop_to(k)
+                if one:
                     break
-                if stack[k].tag in ends:
-                    pop_to(k)
-                    if tag in ("li", "dt", "dd", "option", "td", "th"):
-                        break
         element = Element(tag, m[3])
         for outer, parts in UNDRAWN.items():
-            element.hidden |= tag in parts and open_[outer] > 0
+            element.hidden |= tag in parts and bool(open_[outer])
         stack[-1].children.append(element)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -176,13 +177,43 @@ def parse(page: str) -> tuple[Element, int]:
 
 
 class Lines:
-    """Collects lines; spaces collapse and breaks merge as blocks require."""
+    """Collects lines; spaces collapse and breaks merge as blocks require.
+
+    Items and quotations are containers: their lines are indented by a margin, their marks stand
+    before their first line.  What a container's first block would keep away from what is
+    before it, and its last block from what follows, counts for nothing."""
 
     def __init__(self):
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = False  # a collapsed space is due before the next sign
         self.blank = False  # a blank line is due before the next line
+        self.margin = 0
+        self.marks, self.hang = "", 0  # marks due before the next line, and their margin
+        self.tight = False  # no blank lines inside items
+        self.first = False  # the innermost container holds no line yet
+
+    def enter(self, width: int, mark: str = "", tight: bool = False) -> tuple:
+        self.end()
+        before = (self.margin, self.marks, self.hang, self.tight, self.first, len(self.lines))
+        if mark:
+            self.hang = self.hang if self.marks else self.margin
+            # Marks that would stand beyond the deepest margin are left out.
+            self.marks += mark if self.hang + len(self.marks) < DEEPEST else ""
+        elif self.marks:
+            self.marks += " " * width if self.hang + len(self.marks) < DEEPEST else ""
+        self.margin = min(DEEPEST, self.margin + width)
+        self.tight |= tight
+        self.first = True
+        return before
+
+    def leave(self, before: tuple) -> None:
+        self.end()
+        self.margin, marks, hang, self.tight, first, lines = before
+        if len(self.lines) == lines:
+            self.marks, self.hang, self.first = marks, hang, first
+        else:
+            self.blank = self.first = False
 
     def write(self, text: str) -> None:
         parts = _SPACES.split(text)
@@ -211,15 +242,20 @@ class Lines:
         """End the line; an empty one counts only if kept."""
         line = "".join(self.now)
         self.now, self.space = [], False
-        if line.strip() or keep:
+        seen = bool(line.strip())
+        if seen or (keep and not self.tight):
             if self.blank and self.lines and self.lines[-1]:
                 self.lines.append("")
-            self.blank = False
+            self.blank = self.first = False
+            if seen and self.marks:
+                line, self.marks = " " * self.hang + self.marks + line, ""
+            elif seen:
+                line = " " * self.margin + line
             self.lines.append(line.rstrip())
 
     def gap(self) -> None:
         self.end()
-        self.blank = True
+        self.blank |= not self.first and not self.tight
 
 
 def _render(node: Element, out: Lines, pre: bool = False) -> None:
@@ -245,22 +281,16 @@ def _render(node: Element, out: Lines, pre: bool = False) -> None:
             out.end()
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            inner = Lines()
-            _render(child, inner, pre)
-            inner.end()
-            for k, line in enumerate([x for x in inner.lines if x]):
-                out.now.append((mark if not k else " " * len(mark)) + line)
-                out.end()
+            before = out.enter(len(mark), mark, tight=True)
+            _render(child, out, pre)
+            out.leave(before)
         elif tag in BLOCKS or tag in DRAWN_TEXT:
             nested = tag in ("ul", "ol", "menu", "dir") and node.tag in ("li", "ul", "ol")
             (out.gap if tag in LOOSE and not nested else out.end)()
             if tag in ("blockquote", "dd"):
-                inner = Lines()
-                _render(child, inner, pre)
-                inner.end()
-                for line in inner.lines:
-                    out.now.append("  " + line if line else "")
-                    out.end(keep=not line)
+                before = out.enter(2)
+                _render(child, out, pre)
+                out.leave(before)
             else:
                 _render(child, out, pre or tag == "pre")
             (out.gap if tag in LOOSE and not nested else out.end)()
@@ -303,45 +333,57 @@ def _cells(row: Element) -> list[tuple[str, int, int]]:
 def _table(node: Element) -> list[str]:
     """Lines of a table: rows of short cells in padded columns, others' cells stacked."""
     grid: list[list[tuple[int, str, int]] | str] = []
-    below: dict[int, int] = {}  # by column, the rows that a cell above still covers
-    for kind, element, text in _rows(node):
+    until = np.zeros(COLUMNS, np.int64)  # by column, the row from which it is free again
+    for number, (kind, element, text) in enumerate(_rows(node)):
         if kind == "text":
             inner = Lines()
             inner.write(text)
             _render(element, inner)
             inner.end()
             grid += inner.lines
+            # A line between rows is no row: what cells above cover goes on below it.
+            until[until > number] += 1
             continue
-        row, at, covered = [], 0, {k for k, n in below.items() if n}
-        below = {k: n - 1 for k, n in below.items() if n > 1}
+        row, at = [], 0
+        covered = until > number
         for text, span, down in _cells(element):
-            while at in covered:
-                at += 1
+            if at < COLUMNS and covered[at]:
+                free = np.flatnonzero(~covered[at:])
+                at = at + int(free[0]) if len(free) else COLUMNS
             row.append((at, text, span))
             if down > 1:
-                below |= dict.fromkeys(range(at, at + span), down - 1)
+                until[at : at + span] = number + down
             at += span
         grid.append(row)
     stacked = [isinstance(row, str) or any("\n" in c or len(c) > WIDE for _, c, _ in row) for row in grid]
-    widths: dict[int, int] = {}
-    for row, apart in zip(grid, stacked):
-        for at, c, span in () if apart else row:
+    # Only columns in which a cell of a padded row begins have a place on the line.
+    padded = [row for row, apart in zip(grid, stacked) if not apart]
+    columns = sorted({at for row in padded for at, _, _ in row})
+    place = {at: k for k, at in enumerate(columns)}
+    reach = lambda at, span: bisect.bisect_left(columns, at + span)
+    widths = [0] * len(columns)
+    for row in padded:
+        for at, c, span in row:
             if span == 1:
-                widths[at] = max(widths.get(at, 0), len(c))
+                widths[place[at]] = max(widths[place[at]], len(c))
+    begins = [0, *itertools.accumulate(w + 2 for w in widths)]
+    # Padding stays within a multiple of what the cells hold; beyond it nothing is aligned.
+    held = sum(len(c) + 10 for row in padded for _, c, _ in row)
+    aligned = sum(begins[place[row[-1][0]]] for row in padded if row) <= PADDING + 2 * held
     lines: list[str] = []
     for row, apart in zip(grid, stacked):
         if isinstance(row, str):
             lines.append(row)
         elif apart:
             lines += [line for _, c, _ in row for line in c.split("\n")]
+        elif not aligned:
+            lines.append("  ".join(c for _, c, _ in row if c))
         else:
-            line, begins, done = "", 0, 0
+            line = ""
             for at, c, span in row:
-                begins += sum(widths.get(k, 0) + 2 for k in range(done, at))
-                line = line.ljust(begins) + c
-                begins += sum(widths.get(k, 0) + 2 for k in range(at, at + span))
-                done = at + span
-                line += "  " if len(line) > begins - 2 else ""  # a spanning cell wider than its columns
+                line = line.ljust(begins[place[at]]) + c
+                end = begins[reach(at, span)]
+                line += "  " if len(line) > end - 2 else ""  # a spanning cell wider than its columns
             lines.append(line.rstrip())
     return [x for x in lines if x]
 
