@@ -154,3 +154,64 @@ def scheduler_ticks(spark, sf_dir):
     ticking.consume(event_ticks(events), folder, scratch_path(spark, "stream"))
     lists = {c: F.array_join(c, ",") for c in ("stages", "entities", "relations", "evidence")}
     return ticking.read_state(spark, folder).withColumns({"title": F.lower("title"), "opportunity": F.round("opportunity", 6), **lists})
+
+
+@query("""WITH f AS (SELECT user_id AS run, event_id AS pos, props AS artifact, value, event_type, sum(CAST(event_type = 'signup' AS INT)) OVER w AS epoch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+d AS MATERIALIZED (SELECT *, sum(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END) OVER (PARTITION BY run, epoch ORDER BY pos) AS depth FROM f),
+here AS (SELECT run, max(pos) AS pos, arg_max(depth, pos) AS depth, arg_max(artifact, pos) AS artifact, arg_max(event_type, pos) AS kind, arg_max(value, pos) AS v FROM d GROUP BY run),
+w AS (SELECT *, CASE kind WHEN 'click' THEN 'search' WHEN 'purchase' THEN 'artifact' WHEN 'error' THEN 'stop' ELSE 'other' END AS type, kind <> 'error' AND v < 25 AS dampened FROM here),
+seen AS (SELECT DISTINCT user_id AS run, props AS id FROM events WHERE value > 40),
+links AS (SELECT user_id AS run, props AS artifact, event_id AS ord, lead(props) OVER (PARTITION BY user_id ORDER BY event_id) AS id FROM events),
+open_ AS (SELECT a.run, a.depth, a.artifact FROM d a JOIN w ON w.run = a.run AND a.pos < w.pos AND a.depth < w.depth WHERE (w.dampened OR w.type = 'stop') AND NOT EXISTS (SELECT 1 FROM d b WHERE b.run = a.run AND b.pos > a.pos AND b.pos <= w.pos AND b.depth <= a.depth)),
+res AS (SELECT o.run, arg_min(l.id, (-o.depth, l.ord, l.id)) AS resume FROM open_ o JOIN links l ON l.run = o.run AND l.artifact = o.artifact AND l.id IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.run = o.run AND s.id = l.id) GROUP BY 1),
+c AS (SELECT user_id AS run, props AS id, event_type, value AS p FROM events e WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.run = e.user_id AND s.id = e.props)),
+b AS (SELECT run, arg_min(id, (-p, id)) FILTER (event_type = 'view') AS hit, arg_min(id, (-p, id)) FILTER (event_type <> 'view') AS other, arg_min(id, (-p, id)) FILTER (event_type IN ('signup', 'error', 'purchase')) AS far, list(DISTINCT id) FILTER (event_type IN ('signup', 'error', 'purchase')) AS front FROM c GROUP BY 1),
+x AS (SELECT w.*, resume, hit, other, far, CASE WHEN list_contains(front, artifact) THEN artifact END AS own FROM w LEFT JOIN res USING (run) LEFT JOIN b USING (run))
+SELECT run, CASE WHEN type = 'stop' THEN coalesce(resume, far) WHEN dampened AND resume IS NOT NULL THEN resume WHEN type = 'search' AND hit IS NOT NULL THEN hit WHEN type = 'artifact' AND own IS NOT NULL THEN own ELSE other END AS id,
+ CASE WHEN type = 'stop' THEN CASE WHEN coalesce(resume, far) IS NULL THEN 'none' ELSE 'backtrack' END WHEN dampened AND resume IS NOT NULL THEN 'ancestor' WHEN type = 'search' AND hit IS NOT NULL THEN 'hit' WHEN type = 'artifact' AND own IS NOT NULL THEN 'wish' WHEN other IS NULL THEN 'none' ELSE 'fallback' END AS outcome FROM x""")
+def ways_on(spark, sf_dir):
+    """Each user's events as a walk: signups begin at the root, errors stay beside, others go down."""
+    from quarry.operators import resolving
+
+    run = F.col("user_id").alias("run")
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    epochs = e.withColumn("epoch", F.sum((F.col("event_type") == "signup").cast("int")).over(w))
+    down = F.col("event_type").isin("view", "click", "purchase").cast("int")
+    frames = epochs.select(run, F.col("event_id").alias("pos"), F.sum(down).over(Window.partitionBy("user_id", "epoch").orderBy("event_id")).alias("depth"), F.col("props").alias("artifact"))
+    last = e.groupBy(run).agg(F.max_by(F.struct("event_type", "value", "props"), "event_id").alias("l"))
+    kind = F.col("l.event_type")
+    wishes = last.select("run", F.when(kind == "click", "search").when(kind == "purchase", "artifact").when(kind == "error", "stop").otherwise("other").alias("type"), F.col("l.props").alias("artifact"), ((kind != "error") & (F.col("l.value") < 25)).alias("dampened"))
+    links = e.select(run, F.col("props").alias("artifact"), F.col("event_id").alias("ord"), F.lead("props").over(w).alias("id"))
+    some = lambda where: e.where(where).select(run, F.col("props").alias("id"), F.col("value").alias("priority"))
+    return resolving.ways_on(wishes, frames, links, some("event_type IN ('signup', 'error', 'purchase')"), some("event_type = 'view'"), some("event_type <> 'view'"), some("value > 40").select("run", "id"))
+
+
+_EDITED = """SELECT o_custkey AS arc, o_orderstatus, o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus <> 'F'"""
+
+
+@query(f"""WITH o AS ({_EDITED}), e AS (SELECT arc, o_orderpriority AS name, max(o_orderstatus = 'P') AS schema, list(DISTINCT o_orderstatus) AS fields FROM o GROUP BY 1, 2),
+h AS (SELECT arc, count(*) AS n, list(o_orderpriority ORDER BY o_orderkey) AS steps FROM o GROUP BY 1), k AS (SELECT arc, lower(trim(name)) AS k, * FROM e),
+c AS (SELECT 'workflow' AS kind, 'workflow:' || arc AS id, 'arc' AS evidence, 'Customer ' || arc AS name FROM h UNION ALL SELECT 'workflow', 'workflow:' || arc, 'call_path', 'path ' || n FROM h
+UNION ALL SELECT 'entity', 'entity:' || k, CASE WHEN schema THEN 'schema_definition' ELSE 'llm_inference' END, name FROM k UNION ALL SELECT 'link', 'workflow:' || arc || '|uses entity|entity:' || k, 'executable_code', 'uses entity' FROM k
+UNION ALL SELECT 'field', 'field:' || k || '.' || lower(f), CASE WHEN schema THEN 'schema_definition' ELSE 'llm_inference' END, f FROM (SELECT *, unnest(fields) AS f FROM k)
+UNION ALL SELECT 'link', 'entity:' || k || '|has field|field:' || k || '.' || lower(f), CASE WHEN schema THEN 'schema_definition' ELSE 'llm_inference' END, 'has field' FROM (SELECT *, unnest(fields) AS f FROM k)
+UNION ALL SELECT 'step', 'step:' || arc || ':' || (i - 1), 'llm_interpretation', s FROM (SELECT arc, unnest(steps) AS s, unnest(range(1, len(steps) + 1)) AS i FROM h)
+UNION ALL SELECT 'link', 'workflow:' || arc || '|has step|step:' || arc || ':' || (i - 1), 'llm_interpretation', 'has step' FROM (SELECT arc, unnest(range(1, len(steps) + 1)) AS i FROM h)),
+g AS (SELECT kind, id, evidence, name, count(*) AS n FROM c GROUP BY ALL), v AS (SELECT kind, id, evidence, sum(n) AS n, min((CASE WHEN kind = 'workflow' AND evidence <> 'arc' THEN 1 ELSE 0 END, -n, name)) AS best FROM g GROUP BY ALL)
+SELECT kind, id, min(best)[3] AS name, string_agg(evidence || ':' || CAST(n AS BIGINT), ',' ORDER BY evidence || ':' || CAST(n AS BIGINT)) AS evidence, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY kind, id""")
+def arc_view(spark, sf_dir):
+    """Customers' orders as arcs, built from all of them and edited to those still open: the SQL
+    builds the edited arcs' view anew."""
+    from quarry.operators import views
+
+    o = table(spark, sf_dir, "orders")
+
+    def arcs(rows):
+        e = rows.groupBy("o_custkey", "o_orderpriority").agg(F.max((F.col("o_orderstatus") == "P").cast("int")).alias("p"), F.collect_set("o_orderstatus").alias("fields"))
+        e = e.groupBy(F.col("o_custkey").alias("arc")).agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("name"), F.when(F.col("p") == 1, "schema").alias("schema"), "fields")).alias("entities"))
+        s = rows.groupBy(F.col("o_custkey").alias("arc")).agg(F.count("*").alias("k"), F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x.o_orderpriority).alias("steps"))
+        return s.join(e, "arc").select("arc", F.concat(F.lit("Customer "), "arc").alias("title"), F.concat(F.lit("path "), "k").alias("path"), F.lit(None).cast("string").alias("meaning"), "entities", "steps")
+
+    before, after = arcs(o), arcs(o.where("o_orderstatus <> 'F'"))
+    return views.shown(views.applied(views.contributions(before), views.changed(before, after)))
