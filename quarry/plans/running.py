@@ -215,3 +215,35 @@ def arc_view(spark, sf_dir):
 
     before, after = arcs(o), arcs(o.where("o_orderstatus <> 'F'"))
     return views.shown(views.applied(views.contributions(before), views.changed(before, after)))
+
+
+_TALLY = "user_id long, event_type string, n long, first long, last long, ids long"
+
+
+@query("SELECT user_id, event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL")
+def stopped_tallies(spark, sf_dir):
+    """Tallies of a stream that is stopped after its first batch and then goes on: the SQL counts
+    all events once, so nothing may be lost or taken twice."""
+    from quarry.runtime import shared_dir
+    from quarry.streaming import replay, stopping
+
+    source = table(spark, sf_dir, "events")
+    parts, control = scratch_path(spark, "parts"), scratch_path(spark, "control")
+    source.repartitionByRange(4, "event_id").write.parquet(parts)
+    place = lambda: stopping.saved(spark, f"{shared_dir(spark)}/tallies", "events", parts)
+
+    def put(rows, number):
+        folder = place().state
+        if number not in stopping.versions(rows.sparkSession, folder):
+            new = rows.select("user_id", "event_type", F.lit(1).cast("long").alias("n"), F.col("event_id").alias("first"), F.col("event_id").alias("last"), F.col("event_id").alias("ids"))
+            both = stopping.newest(rows.sparkSession, folder, _TALLY, number).unionByName(new)
+            sums = both.groupBy("user_id", "event_type").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("ids").alias("ids"))
+            sums.write.mode("overwrite").parquet(f"{folder}/batch-{number:09d}")
+        if number == 0:
+            stopping.request(rows.sparkSession, control, "tallies", "stop")
+
+    events = replay.event_stream(spark, parts, source.schema)
+    stopping.run(events, "tallies", control, place(), put)
+    stopping.request(spark, control, "tallies", "run")
+    stopping.run(events, "tallies", control, place(), put)
+    return stopping.newest(spark, place().state, _TALLY)
