@@ -94,6 +94,22 @@ def nested_settings(spark, sf_dir):
     return extract.extract(e, "settings")
 
 
+@query("""WITH o AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS path, repeat('in.', CAST(o_orderkey % 7 AS INT)) AS pre FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT path, pre || 'id' AS key, CAST(o_custkey AS VARCHAR) AS value FROM o
+UNION ALL SELECT path, pre || 'tags', o_orderstatus || ', , ' || o_orderkey FROM o WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT path, pre || 'total', rtrim(rtrim(CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR), '0'), '.') FROM o
+UNION ALL SELECT path, pre || 'open', CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END FROM o
+UNION ALL SELECT path, pre || 'gone', 'null' FROM o
+UNION ALL SELECT path, pre || 'who.' || o_orderpriority, 'said "' || o_custkey || '"' FROM o""")
+def json_leaves(spark, sf_dir):
+    """Orders as JSON: nested by their key, every 11th broken, every fifth with an object in a list."""
+    from quarry.operators import json_leaves as leaves
+
+    text = """concat(repeat('{"in": ', cast(o_orderkey % 7 AS int)), '{"id": ', o_custkey, ', "tags": ["', o_orderstatus, '", null, ', if(o_orderkey % 5 = 0, '{"x": 1}', cast(o_orderkey as string)), '], "total": ', cast(o_totalprice AS decimal(15, 2)),
+      ', "open": ', o_orderstatus = 'O', ', "gone": null, "none": {}, "who": {"', o_orderpriority, '": "said ', chr(92), '"', o_custkey, chr(92), '""}', if(o_orderkey % 11 = 0, '', '}'), repeat('}', cast(o_orderkey % 7 AS int)))"""
+    return leaves.leaves(made(spark, sf_dir, "orders", "cast(o_orderkey as string)", text))
+
+
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS path, 'list.' || c_name AS object, 'id,n' AS fields FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'list.1', 'x' FROM customer""")
 def json_objects(spark, sf_dir):
     c = made(spark, sf_dir, "customer", "cast(c_custkey as string)", """concat('{"list": [{"id": "', c_name, '", "n": 1}, {"x": 2}, 3]}')""")
