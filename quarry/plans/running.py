@@ -230,6 +230,8 @@ def stopped_tallies(spark, sf_dir):
     source = table(spark, sf_dir, "events")
     parts, control = scratch_path(spark, "parts"), scratch_path(spark, "control")
     source.repartitionByRange(4, "event_id").write.parquet(parts)
+    # Four batches, into however many files the events went.
+    each = -(-len(spark.read.parquet(parts).inputFiles()) // 4)
     place = lambda: stopping.saved(spark, f"{shared_dir(spark)}/tallies", "events", parts)
 
     def put(rows, number):
@@ -242,7 +244,7 @@ def stopped_tallies(spark, sf_dir):
         if number == 0:
             stopping.request(rows.sparkSession, control, "tallies", "stop")
 
-    events = replay.event_stream(spark, parts, source.schema)
+    events = replay.event_stream(spark, parts, source.schema, max(1, each))
     stopping.run(events, "tallies", control, place(), put)
     stopping.request(spark, control, "tallies", "run")
     stopping.run(events, "tallies", control, place(), put)
