@@ -37,12 +37,28 @@ def file_priority(relation: Column, kind: Column, path: Column, label: Column) -
     return _worth(relation, FILE_RELATIONS, 0) + _if(folder, 12) + _if(folder & p.rlike(FLOW_PLACES), 28) + _if(p.rlike(CODE_FILES), 10) - _if(p.rlike(PLAIN_FILES), 22) - _if(name.startswith("."), 12)
 
 
-def slice_priority(relation: Column, kind: Column, path: Column, label: Column) -> Column:
-    """Of symbols along one flow; boundaries to other systems and semantic functions first."""
+def flow_priority(relation: Column, kind: Column, path: Column, label: Column) -> Column:
+    """Of symbols along one flow."""
     text = F.lower(F.concat_ws(" ", F.coalesce(label, F.lit("")), F.coalesce(path, F.lit(""))))
     named = _if(text.rlike(ACTING_NAMES), 12) - _if(text.rlike(AIDING_NAMES), 15)
-    kinds = _if(kind == "symbol", 30) + _if(kind == "external_boundary", 180) + _if(kind == "semantic_function", 20)
-    return _worth(relation, SLICE_RELATIONS, 20) + kinds + named + _worth(relation, SEMANTIC_RELATIONS, 0)
+    return _worth(relation, SLICE_RELATIONS, 20) + _if(kind == "symbol", 30) + named
+
+
+def boundary_priority(relation: Column, kind: Column, path: Column, label: Column) -> Column:
+    """Of symbols along one flow; boundaries to other systems first."""
+    return flow_priority(relation, kind, path, label) + _if(kind == "external_boundary", 180)
+
+
+def slice_priority(relation: Column, kind: Column, path: Column, label: Column) -> Column:
+    """Of symbols along one flow; boundaries to other systems and semantic functions first."""
+    return boundary_priority(relation, kind, path, label) + _if(kind == "semantic_function", 20) + _worth(relation, SEMANTIC_RELATIONS, 0)
+
+
+def path_priority(relation: Column, kind: Column, path: Column, label: Column, functions: Column) -> Column:
+    """Where whole call paths are candidates too: a path by the functions it holds (none: 0),
+    anything else as along one flow."""
+    whole = F.coalesce(kind == "call_path_seed", F.lit(False)) | F.coalesce(relation == "call_path", F.lit(False))
+    return F.when(whole, 120 + F.coalesce(functions, F.lit(0))).otherwise(slice_priority(relation, kind, path, label))
 
 
 def _top(rows: DataFrame, keys: list[str], order: list, most: Column | int) -> DataFrame:

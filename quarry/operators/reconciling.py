@@ -44,14 +44,16 @@ def packet(names: DataFrame, candidates: DataFrame, contexts: DataFrame, mapping
     ``most``, the first of them in order.
 
     An offer is a name's candidates with their scores and its contexts with the schemas that
-    other names are mapped to there.
+    other names are mapped to there.  The contexts enter the fingerprint as a count and two xors
+    of hashes, whatever their order, so a name that is used everywhere is never one list.
     names: name, ord; candidates: name, schema, score; contexts: name, context; mappings: name,
     schema; ledger: name, fingerprint."""
     open_ = names.join(mappings.select("name").distinct(), "name", "left_anti")
     offers = candidates.join(open_, "name", "left_semi").groupBy("name").agg(F.array_sort(F.collect_set(F.struct("schema", "score"))).alias("offered"))
     own = contexts.join(open_, "name", "left_semi").where("context IS NOT NULL").distinct()
     known = contexts.join(mappings, "name").select("context", "schema").distinct()
-    beside = own.join(known, "context", "left").groupBy("name").agg(F.array_sort(F.collect_set(F.struct("context", "schema"))).alias("used"))
+    use = lambda *salt: F.bit_xor(F.xxhash64(*map(F.lit, salt), "context", "schema"))
+    beside = own.join(known, "context", "left").groupBy("name").agg(F.struct(F.count("*"), use(), use("again")).alias("used"))
     rows = open_.groupBy("name").agg(F.min("ord").alias("ord")).join(offers, "name").join(beside, "name")
     rows = rows.withColumn("fingerprint", F.sha1(F.to_json(F.struct("name", "offered", "used"))))
     fresh = rows.join(ledger.select("name", "fingerprint"), ["name", "fingerprint"], "left_anti")

@@ -1,6 +1,6 @@
 """All queries over the shared tables, with the SQL each must agree with."""
 
-from quarry.plans import choosing, deciding, discovery, graphs, knowledge, projecting, running, scoring, searching, sourcing, states, viewing, views  # noqa: F401
+from quarry.plans import choosing, deciding, discovery, graphs, knowledge, passing, projecting, running, scoring, searching, sourcing, states, viewing, views  # noqa: F401
 from quarry.plans.discovery import relationship_rank  # noqa: F401
 from quarry.plans.registry import QUERIES, SQL
 

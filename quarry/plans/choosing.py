@@ -114,6 +114,23 @@ def candidate_priorities(spark, sf_dir):
     return e.select("event_id", choosing.file_priority(relation, kind, path, label).alias("file_priority"), choosing.slice_priority(relation, kind, path, label).alias("slice_priority"))
 
 
+_KINDS = "CASE CAST(user_id AS BIGINT) % 4 WHEN 0 THEN 'symbol' WHEN 1 THEN 'external_boundary' WHEN 2 THEN 'semantic_function' ELSE 'call_path_seed' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_REL} AS relation, lower(event_type || ' ' || coalesce(url, '')) AS t, {_KINDS} AS kind, CAST(floor(value) AS BIGINT) AS n FROM events LEFT JOIN pages ON page_id = event_id),
+f AS (SELECT *, {_case("relation", choosing.SLICE_RELATIONS, 20)} + CASE WHEN kind = 'symbol' THEN 30 ELSE 0 END + CASE WHEN regexp_matches(t, '{choosing.ACTING_NAMES}') THEN 12 ELSE 0 END - CASE WHEN regexp_matches(t, '{choosing.AIDING_NAMES}') THEN 15 ELSE 0 END AS flow FROM e),
+b AS (SELECT *, flow + CASE WHEN kind = 'external_boundary' THEN 180 ELSE 0 END AS boundary FROM f),
+s AS (SELECT *, boundary + CASE WHEN kind = 'semantic_function' THEN 20 ELSE 0 END + {_case("relation", choosing.SEMANTIC_RELATIONS, 0)} AS semantic FROM b)
+SELECT event_id, flow, boundary, semantic, CASE WHEN kind = 'call_path_seed' THEN 120 + n ELSE semantic END AS paths FROM s""")
+def candidate_variants(spark, sf_dir):
+    """One candidate by the four rules for symbols: kinds by user, functions of a path by value."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), "url")
+    e = table(spark, sf_dir, "events").join(pages, "event_id", "left")
+    args = F.expr(_REL), F.expr(_KINDS), F.col("url"), F.col("event_type")
+    n = F.floor("value").cast("long")
+    return e.select("event_id", choosing.flow_priority(*args).alias("flow"), choosing.boundary_priority(*args).alias("boundary"), choosing.slice_priority(*args).alias("semantic"), choosing.path_priority(*args, n).alias("paths"))
+
+
 _CANDIDATES = "SELECT c_nationkey AS src, c_custkey AS id, c_mktsegment = 'BUILDING' AS is_local, c_acctbal AS priority FROM customer"
 
 
