@@ -261,6 +261,17 @@ def test_mining_against_all_combinations(spark):
             assert bool(urlfilter.fitting(index, {item[t] for t in c if t in item})) == any(g <= set(c) for g in good), c
 
 
+@pytest.mark.parametrize("widest", [12, 3, 40])
+def test_mining_keeps_all_items_of_wide_urls(spark, widest):
+    fill = [f"f{k:02d}" for k in range(14)]
+    rows = [(fill + ["x", "y"], True)] * 40 + [([f for k, f in enumerate(fill) if k != j % 14], False) for j in range(70)]
+    rows += [(["x"], False)] * 100 + [(["y"], False)] * 100
+    found, item = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), longest=3, widest=widest)
+    # The fillers lift the label more than x and y do, but no combination of them is a rule.
+    assert sorted(r for r, _ in found) == sorted([("x", "y"), *((f, z) for f in fill for z in "xy")])
+    assert all(share == 1.0 for _, share in found) and set(item) == {*fill, "x", "y"}
+
+
 def test_long_shared_paths_are_one_item(spark):
     long = "/".join(f"seg{chr(97 + k)}" for k in range(24))
     rows = [(k, f"http://x{k}.example.org/{long}/{k}") for k in range(30)] + [(100 + k, f"http://y{k}.example.net/ok") for k in range(60)]
