@@ -28,11 +28,11 @@ def resolve_by_precedence(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     by = lambda c: symbols.select(F.lower(c).alias("key"), F.col("id"), F.col("source").alias("at"))
     parts = []
     for rank, column in ((0, "name"), (2, "simple_name")):
-        hit = refs.select("ref", "source", F.lower(column).alias("key")).join(by(column), "key")
-        both = hit.groupBy("ref").agg(
-            F.min(F.when(F.col("at") == F.col("source"), F.col("id"))).alias("near"),
-            F.when(F.count_distinct("id") == 1, F.min("id")).alias("only"),
-        )
+        # A key's symbols are added up before references meet them, so a common name makes no pairs.
+        keys = by(column).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+        files = by(column).groupBy("key", F.col("at").alias("source")).agg(F.min("id").alias("near"))
+        hit = refs.select("ref", "source", F.lower(column).alias("key")).join(keys, "key").join(files, ["key", "source"], "left")
+        both = hit.groupBy("ref").agg(F.min("near").alias("near"), F.when(F.min("lo") == F.max("hi"), F.min("lo")).alias("only"))
         parts += [both.select("ref", F.lit(rank).alias("rank"), F.col("near").alias("id")), both.select("ref", F.lit(rank + 1).alias("rank"), F.col("only").alias("id"))]
     every = parts[0]
     for p in parts[1:]:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +320,13 @@ def test_conversation_families_read_whole_texts(spark):
     rows = [(c, k, "user", text) for c, texts in talks.items() for k, text in enumerate(texts)]
     got = {r.id: (r.family, r.relation) for r in graphs.families_of(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
     assert got == {1: (1, "representative"), 2: (2, "representative"), 3: (1, "duplicate"), 4: (1, "branch")}
+
+
+def test_a_name_that_all_symbols_share_makes_no_pairs(spark):
+    n = 60_000  # as pairs 3.6 billion
+    symbols = spark.range(n).selectExpr("id", "concat('n', id) AS name", "'Same' AS simple_name", "concat('f', id % 1000) AS source")
+    refs = symbols.where("id > 0").selectExpr("concat('r', id) AS ref", "concat('x', id) AS name", "'same' AS simple_name", "source")
+    started = time.monotonic()
+    got = graph.resolve_by_precedence(refs, symbols)
+    assert got.where("symbol = int(substr(ref, 2)) % 1000").count() == n - 1
+    assert time.monotonic() - started < 60
