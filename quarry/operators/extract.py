@@ -15,7 +15,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
-from itertools import accumulate
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -103,7 +103,7 @@ _ATTRIBUTE = re.compile(r"(?P<key>[\w:.-]+)\s*=\s*(?P<quote>[\"'])(?P<value>.*?)
 
 
 def tags(text: str) -> list[Tag]:
-    return [Tag(m["name"], {a["key"]: a["value"] for a in _ATTRIBUTE.finditer(m["rest"])}, m.start(), m.end(), bool(m["slash"]), bool(m["alone"])) for m in _TAG.finditer(text)]
+    return [Tag(m["name"], {a["key"]: a["value"] for a in _ATTRIBUTE.finditer(m["rest"])} if m["rest"] else {}, m.start(), m.end(), bool(m["slash"]), bool(m["alone"])) for m in _TAG.finditer(text)]
 
 
 def nest(found: list[Tag]) -> tuple[list[Tag], list[int], list[int], list[int | None]]:
@@ -349,13 +349,21 @@ SCHEMAS: dict[str, tuple[Callable, str]] = {
 }
 
 
-def extract(files: DataFrame, form: str) -> DataFrame:
-    """Rows of a parser over (path, text).  Narrow; one document at a time."""
+def extract(files: DataFrame, form: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a parser over (path, text), of all columns or ``only`` some.  Narrow; one document
+    at a time."""
     parse, schema = SCHEMAS[form]
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    every = _parse_datatype_string(schema)
+    at = [k for k, f in enumerate(every) if not only or f.name in only]
+    kept = StructType([every[k] for k in at])
+    arrow = to_arrow_schema(kept)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([_column(columns[k], f.type) for k, f in zip(at, arrow)], schema=arrow)
 
     def run(batches):
         for batch in batches:
@@ -363,23 +371,25 @@ def extract(files: DataFrame, form: str) -> DataFrame:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
                 rows += parse(path or "", text or "")
                 if len(rows) > 5000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, _named(r, arrow))) for r in rows], schema=arrow)
+                    yield table(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, _named(r, arrow))) for r in rows], schema=arrow)
-
-    return files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def _named(row: tuple, schema: pa.Schema) -> list:
-    """Pairs become structs."""
-    out = []
-    for value, field in zip(row, schema):
-        if isinstance(value, list) and pa.types.is_list(field.type) and pa.types.is_struct(field.type.value_type):
-            names = [f.name for f in field.type.value_type]
-            value = [dict(zip(names, v)) for v in value]
-        out.append(value)
-    return out
+                yield table(rows)
+
+    return files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).mapInArrow(run, kept)
+
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Lists of pairs become lists of structs, built column by column: a dict per pair costs more
+    than parsing it."""
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+        return pa.array(values, kind)
+    # A null offset makes the list that begins there null.
+    lengths = [0, *accumulate(len(v) if v is not None else 0 for v in values)]
+    offsets = pa.array([n if k == len(values) or values[k] is not None else None for k, n in enumerate(lengths)], pa.int32())
+    fields = list(zip(*chain.from_iterable(v for v in values if v is not None))) or [()] * kind.value_type.num_fields
+    flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(fields, kind.value_type)], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(offsets, flat, type=kind)
 
 
 # References -------------------------------------------------------------------------------

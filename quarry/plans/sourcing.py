@@ -152,14 +152,14 @@ def order_markup(spark, sf_dir):
 SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS path, 1 AS ordinal, 'order' AS tag, NULL AS parent, 0 AS depth, 'id=' || l_orderkey AS attributes FROM l UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), 2, 'head', 1, 1, '' FROM l
 UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 1 + 2 * k, 'line', 1, 1, 'n=' || l_linenumber FROM l UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 2 + 2 * k, 'part', 1 + 2 * k, 2, 'k=' || l_partkey FROM l""")
 def markup_hierarchy(spark, sf_dir):
-    tree = extract.extract(order_markup(spark, sf_dir), "markup")
+    tree = extract.extract(order_markup(spark, sf_dir), "markup", only=("path", "ordinal", "tag", "parent", "depth", "attributes"))
     return tree.select("path", "ordinal", "tag", "parent", "depth", F.array_join(F.transform("attributes", lambda a: F.concat_ws("=", a.key, a.value)), ",").alias("attributes"))
 
 
 @query("""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem)
 SELECT CAST(l_orderkey AS VARCHAR) AS path, 1 AS parent, 'line' AS tag, n FROM n UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 1, 'head', 1 FROM n UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 1 + 2 * k, 'part', 1 FROM l""")
 def markup_children(spark, sf_dir):
-    return extract.child_tags(extract.extract(order_markup(spark, sf_dir), "markup"))
+    return extract.child_tags(extract.extract(order_markup(spark, sf_dir), "markup", only=("path", "tag", "parent")))
 
 
 @query("""SELECT CAST(n_nationkey AS VARCHAR) AS path, t.o AS ordinal, t.tag, t.p AS parent, CASE WHEN t.o = 1 THEN n_name ELSE t.i END AS identity FROM nation, (VALUES (1, 'screen', NULL, ''), (2, 'actions', 1, ''), (3, 'service-call', 2, 'go'), (4, 'if', 1, ''), (5, 'set', 4, 'f')) AS t(o, tag, p, i)""")

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.operators import extract
 
@@ -98,3 +99,15 @@ def test_references(spark):
     assert edges == {("ui", "registers", "$event.click"), ("$event.click", "triggers", "go"), ("ui", "registers", "$event.press"), ("$event.press", "triggers", "go"), ("ui", "registers", "$event.msg"), ("$event.msg", "handles", "take"), ("ui", "on_success", "ok"), ("ui", "on_error", "bad"), ("ui", "delayed_trigger", "later")}
     path = spark.range(1).select(extract.normal_path(F.lit("a/b"), F.lit("../../c/./d.json"))).first()[0]
     assert path == "c/d.json"
+
+
+def test_extracted_columns_can_be_chosen(spark):
+    texts = [(str(k), "<a x='1' y='2'><b/><c z=''></c></a>" * (k % 3)) for k in range(60)] + [("none", None)]
+    files = spark.createDataFrame(texts, "path string, text string")
+    every = extract.extract(files, "markup")
+    some = extract.extract(files, "markup", only=("path", "parent", "attributes"))
+    assert some.columns == ["path", "parent", "attributes"] and some.schema["attributes"] == every.schema["attributes"]
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.select(*some.columns).collect())) != []
+    pairs = to_arrow_schema(some.schema).field("attributes").type
+    assert extract._column((None, [], [("k", "v"), ("l", None)]), pairs).to_pylist() == [None, [], [{"key": "k", "value": "v"}, {"key": "l", "value": None}]]
+    assert extract._column(([], None), pairs).to_pylist() == [[], None]
