@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.sources.files import entries
+
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1, glob: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(folder)
 
 
+#: Batches that a table of part files is taken in: each batch costs as much as its state.
+BATCHES = 4
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     """A table as a stream, whether it is one file or a folder of part files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return event_stream(spark, f"{folder}/{name}.parquet", schema)
+        files = sum(f.endswith(".parquet") and not is_dir for f, is_dir in entries(spark, f"{folder}/{name}.parquet"))
+        return event_stream(spark, f"{folder}/{name}.parquet", schema, max(1, -(-files // BATCHES)))
     return event_stream(spark, folder, schema, glob=f"{name}.parquet")
 
 

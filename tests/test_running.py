@@ -153,3 +153,16 @@ def test_scheduling_by_hand(spark):
     (run,) = [r for r in got.values() if r.kind == "run"]
     assert run.id == "arc-3" and refund.last == 4 and cancel.last == 3 and order.last == 1
     assert ticking.ticked(spark.createDataFrame([], ticking.STATE), spark.createDataFrame([], ticking.TICK)).count() == 0
+
+
+def test_a_table_of_many_files_is_few_batches(spark, tmp_path):
+    """Each batch rewrites or loads the runs' state, so their number must not grow with the files."""
+    from quarry.streaming import replay
+
+    for k in range(11):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    batches = []
+    stream = replay.table_stream(spark, str(tmp_path), "events", "id long")
+    query = stream.writeStream.foreachBatch(lambda rows, number: batches.append(rows.count())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(batches) == 110 and len(batches) <= replay.BATCHES
