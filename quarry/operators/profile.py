@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.runtime import materialise
+
 #: Types whose text form is the same in every engine.
 KEY_TYPES = ("string", "int", "bigint", "smallint", "tinyint", "varchar", "char", "boolean")
 
@@ -28,15 +33,26 @@ def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def column_profile(tables: dict[str, DataFrame], samples: int = 5) -> DataFrame:
     """Per column: rows with a value, share without, distinct values, how unique they are,
     and the first few in order.  Empty strings count as no value."""
-    counts = value_counts(tables)
+    counts = materialise(value_counts(tables), "values")
     full = F.col("value").isNotNull() & (F.col("value") != "")
     stats = counts.groupBy("dataset", "column").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).alias("non_null"),
         F.count(F.when(full, 1)).alias("distinct"),
     )
+
+    def least(batches):
+        held: dict[tuple[str, str], list[str]] = {}
+        for batch in batches:
+            for key, group in batch.to_pandas().groupby(["dataset", "column"])["value"]:
+                held[key] = heapq.nsmallest(samples, [*held.get(key, ()), *group])
+        rows = [(*key, v) for key, values in held.items() for v in values]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["dataset", "column", "value"])
+
+    # A task keeps a column's first few values, so nothing sorts them all.
     order = Window.partitionBy("dataset", "column").orderBy("value")
-    first = counts.where(full).withColumn("k", F.row_number().over(order)).where(F.col("k") <= samples)
+    first = counts.where(full).select("dataset", "column", "value").mapInArrow(least, "dataset string, column string, value string")
+    first = first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= samples)
     first = first.groupBy("dataset", "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s.value).alias("samples"))
     ratio = lambda a, b: F.round(a / F.greatest(F.lit(1), b), 4)
     return stats.join(first, ["dataset", "column"], "left").select(

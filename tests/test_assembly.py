@@ -81,3 +81,13 @@ def test_estate(spark):
     swapped = {f"{99 - k:02d}_{n}": t for k, (n, t) in enumerate(sorted(tables.items()))}
     other = {frozenset(x.split("_", 1)[1] for x in (r.left, r.right)): r.score for r in profile.rank_relationships(profile.value_overlap(swapped)).collect()}
     assert other == {frozenset((r.left, r.right)): r.score for r in ranked.collect()}
+
+
+def test_samples_are_cut_before_they_are_sorted(spark):
+    values = [chr(c) + str(k % 3) for k, c in enumerate([0x1F600, 0xFFFD, 0xE9, 0x7A, 0x41, 0x30, 0x4E2D] * 40)] + ["", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(5)
+    got = profile.column_profile({"t": df, "e": df.limit(0)}, samples=20)
+    row = got.where("dataset = 't'").first()
+    assert row.samples == sorted({v for v in values if v}, key=str.encode)[:20] and row.distinct == 21 and row.non_null == 280
+    # A task's rows for the window are the few it keeps.
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
