@@ -41,15 +41,50 @@ MOST_ROUNDS = 10_000
 
 #: A node may go if that adds no more edges than this to the graph.
 SPARE = 4
-
-
-def _eliminate(edges: DataFrame, inner_only: bool) -> tuple[list[DataFrame], DataFrame]:
-    """(edges of the nodes that went, round by round: id, other, out, w, l; the edges that are
-    left).  edges: src, dst, w, l, each pair once.  With ``inner_only``, roots and leaves stay."""
-    edges, rounds = materialise(edges, "edges"), []
+#: Rounds of trimming that are tried first: shallow graphs without cycles end in them.
+TRIMS = 4
+#: Node tables over this many rows are joined by hashes: edges then needn't be sorted by name.
+MANY = 500_000
+
+
+def _by(nodes: DataFrame, n: int, c: str) -> DataFrame:
+    """A table of ``n`` nodes, each once, to be joined to edges by their end ``c``."""
+    nodes = nodes.withColumnRenamed("id", c)
+    return nodes.hint("shuffle_hash") if n > MANY else nodes
+
+
+def _drop(*tables: DataFrame) -> None:
+    discard(*(df for df in tables if getattr(df, "_scratch", None)))
+
+
+def _trim(edges: DataFrame) -> DataFrame:
+    """Edges that may be on a cycle: where no edge comes to an end, or none leaves it, the node
+    is a part of its own.  After the first ``TRIMS`` rounds it goes on while a round takes half,
+    so the work stays in proportion; the rest is left to elimination.  edges: src, dst,
+    materialised."""
+    given, n, rounds = edges, edges.count(), 0
+    while n:
+        rounds += 1
+        ends = [edges.select(F.col(c).alias("id")).distinct() for c in ("src", "dst")]
+        live = materialise(ends[0].join(ends[1], "id"), "live")
+        k = live.count()
+        left = edges.join(_by(live, k, "src"), "src", "left_semi").join(_by(live, k, "dst"), "dst", "left_semi")
+        left = materialise(left.select("src", "dst"), "edges")
+        before, n = n, left.count()
+        discard(live, *([] if edges is given else [edges]))
+        edges = left
+        if n == before or rounds >= TRIMS and 2 * n > before:
+            break
+    return edges
+
+
+def _eliminate(edges: DataFrame, inner_only: bool, keep: bool = True) -> tuple[list[DataFrame], DataFrame]:
+    """(edges of the nodes that went, round by round: id, other, out, w, l, if ``keep``; the
+    edges that are left).  edges: src, dst, w, l, each pair once, read from a materialised
+    table.  With ``inner_only``, roots and leaves stay."""
+    rounds = []
     for k in range(MOST_ROUNDS):
-        sides = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(True).alias("out"), "w", "l")
-        sides = sides.unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(False).alias("out"), "w", "l"))
+        sides = edges.select(F.col("src").alias("id"), F.lit(True).alias("out")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(False).alias("out")))
         n_out, n_in = F.count(F.when(F.col("out"), 1)), F.count(F.when(~F.col("out"), 1))
         few = F.col("n_in") * F.col("n_out") <= F.col("n_in") + F.col("n_out") + SPARE
         if inner_only:
@@ -58,21 +93,33 @@ def _eliminate(edges: DataFrame, inner_only: bool) -> tuple[list[DataFrame], Dat
         # Cheap nodes go first, so a hub doesn't hold back the many beside it; among equals the
         # order is a hash, so that about a third of a chain goes at once.
         cost = F.ceil(F.log2(F.col("n_in") * F.col("n_out") + 1))
-        able = materialise(able.select("id", F.struct(cost.alias("c"), F.xxhash64("id", F.lit(k)).alias("h"), "id").alias("turn")), "able")
-        if able.isEmpty():
+        able = materialise(able.select("id", cost.alias("c"), F.xxhash64("id", F.lit(k)).alias("h")), "able")
+        n = able.count()
+        if not n:
             discard(able)
             return rounds, edges
-        beside = edges.join(able.select(F.col("id").alias("src"), F.col("turn").alias("t")), "src").join(able.select(F.col("id").alias("dst"), F.col("turn").alias("u")), "dst")
-        late = beside.select(F.when(F.col("t") > F.col("u"), F.col("src")).otherwise(F.col("dst")).alias("id")).distinct()
-        gone = materialise(able.join(late, "id", "left_anti").select("id"), "gone")
-        rounds.append(materialise(sides.join(gone, "id"), "round"))
-        last = rounds[-1]
-        into = last.where("NOT out").select("id", F.col("other").alias("src"), F.col("w").alias("w1"), F.col("l").alias("l1"))
-        on = last.where("out").select("id", F.col("other").alias("dst"), "w", "l")
+        turn = lambda c: F.when(F.col(f"{c}_c").isNotNull(), F.struct(f"{c}_c", f"{c}_h", c))
+        for c in ("src", "dst"):
+            tagged = (edges if c == "src" else tagged).join(_by(able, n, c).withColumnsRenamed({"c": f"{c}_c", "h": f"{c}_h"}), c, "left")
+        tagged = materialise(tagged.select("src", "dst", "w", "l", F.col("src_c").isNotNull().alias("a"), F.col("dst_c").isNotNull().alias("b"), (turn("src") > turn("dst")).alias("later")), "tagged")
+        # Of two neighbours that may go, the later one waits.
+        late = materialise(tagged.where("a AND b").select(F.when(F.col("later"), F.col("src")).otherwise(F.col("dst")).alias("id")).distinct(), "late")
+        n = late.count()
+        went = tagged
+        for c, may in (("src", "a"), ("dst", "b")):
+            went = went.join(_by(late.withColumn("waits", F.lit(True)), n, c), c, "left").withColumn(may, F.col(may) & F.col("waits").isNull()).drop("waits")
+        went = went.select("src", "dst", "w", "l", "a", "b")
+        went = materialise(went, "went") if n > MANY else went
+        into = went.where("b").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(False).alias("out"), "w", "l")
+        on = went.where("a").select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(True).alias("out"), "w", "l")
+        if keep:
+            rounds.append(materialise(into.unionByName(on), "round"))
+        into = into.select("id", F.col("other").alias("src"), F.col("w").alias("w1"), F.col("l").alias("l1"))
+        on = on.select("id", F.col("other").alias("dst"), "w", "l")
         through = into.join(on, "id").where("src <> dst").select("src", "dst", (F.col("w1") * F.col("w")).cast(_COUNT).alias("w"), (F.col("l1") + F.col("l")).alias("l"))
-        stay = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst", "w", "l")
+        stay = went.where("NOT a AND NOT b").select("src", "dst", "w", "l")
         after = materialise(stay.unionByName(through).groupBy("src", "dst").agg(F.sum("w").cast(_COUNT).alias("w"), F.max("l").alias("l")), "edges")
-        discard(edges, able, gone)
+        _drop(edges, able, tagged, late, went)
         edges = after
     raise ValueError(f"over {MOST_ROUNDS} rounds of elimination")
 
@@ -135,10 +182,18 @@ def _parts_of_core(e: DataFrame) -> DataFrame:
 def strong_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, part): the strongly connected part of each node, named by its least one."""
     own = nodes.select("id").where("id IS NOT NULL").distinct()
-    rounds, core = _eliminate(_weighted(clean_edges(own, edges)), inner_only=False)
+    return _parts(own, materialise(clean_edges(own, edges), "clean"))
+
+
+def _parts(own: DataFrame, clean: DataFrame) -> DataFrame:
+    edges = _trim(clean)
+    if edges.isEmpty():
+        return own.select("id", F.col("id").alias("part"))
+    inner = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    rounds, core = _eliminate(_weighted(edges), inner_only=False)
     # Nodes that lost their last edge without going are parts of their own so far.
     ends = core.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    left = _without(own, rounds).join(ends, "id", "left_anti").select("id", F.col("id").alias("part"))
+    left = _without(inner, rounds).join(ends, "id", "left_anti").select("id", F.col("id").alias("part"))
     known = materialise(_parts_of_core(core.select("src", "dst")).unionByName(left), "known")
     for went in reversed(rounds):
         of = went.join(known.select(F.col("id").alias("other"), "part"), "other").groupBy("id", "part").agg(F.max("out").alias("a"), F.min("out").alias("b"))
@@ -150,7 +205,8 @@ def strong_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     discard(*rounds)
     # Parts are named by the node that went last; the least one is its name for good.
     least = known.groupBy("part").agg(F.min("id").alias("least"))
-    return known.join(least, "part").select("id", F.col("least").alias("part"))
+    named = known.join(least, "part").select("id", "least")
+    return own.join(named, "id", "left").select("id", F.coalesce("least", "id").alias("part"))
 
 
 def clean_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -193,7 +249,7 @@ def _sweep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = materialise(known.unionByName(fresh), "ways")
         discard(known)
         known = after
-    discard(core, *rounds)
+    _drop(core, *rounds)
     return known
 
 
@@ -201,14 +257,26 @@ class PathGraph:
     """The maximal paths of a call graph, by its strongly connected parts.  What its questions
     share is worked out once.  nodes: id; edges: src, dst."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
-        self.parts = materialise(strong_parts(nodes, edges), "parts")
-        name = lambda c: self.parts.select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"))
-        between = clean_edges(self.parts, edges).join(name("src"), "src").join(name("dst"), "dst").where("src_part <> dst_part")
-        self.between = materialise(between.select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).distinct(), "condensed")
+    def __init__(self, nodes: DataFrame | None, edges: DataFrame):
+        """nodes: all of them; None: the ends of the edges."""
+        if nodes is None:
+            own, clean = edges.select(F.explode(F.array("src", "dst")).alias("id")), edges.select("src", "dst").where("src <> dst").distinct()
+        else:
+            own, clean = nodes.select("id"), clean_edges(nodes, edges)
+        clean = materialise(clean, "clean")
+        self.parts = materialise(_parts(own.where("id IS NOT NULL").distinct(), clean), "parts")
+        # Only nodes whose part has another name change an edge.
+        moved = materialise(self.parts.where("part <> id"), "moved")
+        n = moved.count()
+        between = clean
+        if n:
+            for c in ("src", "dst"):
+                between = between.join(_by(moved, n, c), c, "left").withColumn(c, F.coalesce("part", c)).drop("part")
+            between = materialise(between.where("src <> dst").select("src", "dst").distinct(), "condensed")
+        self.between = between
         self.heads = materialise(self.parts.groupBy(F.col("part").alias("id")).agg(F.count("*").alias("size")), "condensed-nodes")
-        into, out = (self.between.select(F.col(c).alias("id")) for c in ("dst", "src"))
-        self.roots, self.leaves = (self.heads.select("id").join(x, "id", "left_anti") for x in (into, out))
+        into, out = (self.between.select(F.col(c).alias("id")).distinct() for c in ("dst", "src"))
+        self.roots, self.leaves = (materialise(self.heads.select("id").join(x, "id", "left_anti"), "ends") for x in (into, out))
 
     @cached_property
     def below(self) -> DataFrame:
@@ -230,7 +298,7 @@ class PathGraph:
         """(root, leaf, paths): maximal paths by both ends.  Rows are pairs of a root and a leaf
         that it reaches.  Where no core is left, the edges that elimination leaves are the
         result; a core's counts travel up from its leaves, a round per level."""
-        _, core = _eliminate(_weighted(self.between), inner_only=True)
+        _, core = _eliminate(_weighted(self.between), inner_only=True, keep=False)
         one = F.lit(1).cast(_COUNT).alias("paths")
         out = self.roots.join(self.leaves, "id").select(F.col("id").alias("root"), F.col("id").alias("leaf"), one)
         live = self.leaves.select("id", F.col("id").alias("leaf"), one)

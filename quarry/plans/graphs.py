@@ -95,7 +95,7 @@ def maximal_paths_cycle(spark, sf_dir):
 def supply(spark, sf_dir):
     """Regions, nations, suppliers, parts and brands as a graph without cycles."""
     id_ = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    made = table(spark, sf_dir, "lineitem").select(id_("S", "l_suppkey").alias("src"), id_("P", "l_partkey").alias("dst")).distinct()
+    made = table(spark, sf_dir, "lineitem").select(id_("S", "l_suppkey").alias("src"), id_("P", "l_partkey").alias("dst"))
     brands = table(spark, sf_dir, "part").select(id_("P", "p_partkey").alias("src"), F.col("p_brand").alias("dst"))
     return tree(spark, sf_dir).unionByName(made).unionByName(brands)
 
@@ -107,8 +107,7 @@ x AS (SELECT 'R' || n_regionkey AS root, 'S' || s_suppkey AS leaf, 1 AS n FROM s
  UNION ALL SELECT 'P' || p_partkey, p_brand, 1 FROM part WHERE p_partkey NOT IN (SELECT p FROM u) UNION ALL SELECT 'S' || s, p_brand, count(*) FROM u JOIN part ON p_partkey = p WHERE s NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2)
 SELECT root, leaf, CAST(n AS BIGINT) AS paths FROM d UNION ALL SELECT root, leaf, CAST(n AS BIGINT) FROM x""")
 def path_pair_counts(spark, sf_dir):
-    e = supply(spark, sf_dir)
-    return PathGraph(ends(e), e).pairs().withColumn("paths", F.col("paths").cast("long"))
+    return PathGraph(None, supply(spark, sf_dir)).pairs().withColumn("paths", F.col("paths").cast("long"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT DISTINCT user_id || ':' || props AS id FROM events), e AS (SELECT DISTINCT src, dst FROM (SELECT user_id || ':' || props AS src, lead(user_id || ':' || props) OVER (PARTITION BY user_id ORDER BY event_id) AS dst, value FROM events) WHERE dst IS NOT NULL AND value > 15),

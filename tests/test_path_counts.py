@@ -85,3 +85,21 @@ def test_a_dense_core_is_walked_by_levels(spark):
     nodes = [f"n{k:02d}" for k in range(9)]
     n, e = frames(spark, nodes, [(a, b) for a in nodes for b in nodes if a < b])
     assert [int(r.paths) for r in path_counts.PathGraph(n, e).pairs().collect()] == [2**7]
+
+
+def test_parts_of_a_shallow_graph_without_cycles_need_no_elimination(spark, monkeypatch):
+    edges = [(f"{a}{i}", f"{b}{j}") for a, b in ("ab", "bc", "cd") for i in range(4) for j in range(4)]
+    n, e = frames(spark, sorted({x for p in edges for x in p}), edges + edges[:3] + [("a0", "a0"), ("d1", None)])
+    whole = {tuple(r) for r in path_counts.PathGraph(n, e).pairs().collect()}
+    assert {(r, f, int(p)) for r, f, p in whole} == {(f"a{i}", f"d{j}", 16) for i in range(4) for j in range(4)}
+    # Without a table of nodes, they are the ends of the edges.
+    assert {tuple(r) for r in path_counts.PathGraph(None, e).pairs().collect()} == whole
+    monkeypatch.setattr(path_counts, "_eliminate", None)
+    assert all(r.id == r.part for r in path_counts.strong_parts(n, e).collect())
+
+
+def test_big_tables_are_joined_by_hashes(spark, monkeypatch):
+    """The same parts where node tables are joined by hashes."""
+    monkeypatch.setattr(path_counts, "MANY", 0)
+    n, e = frames(spark, "abcdef", [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f")])
+    assert {tuple(r) for r in path_counts.strong_parts(n, e).collect()} == {("a", "a"), ("b", "b"), ("c", "b"), ("d", "d"), ("e", "d"), ("f", "f")}
