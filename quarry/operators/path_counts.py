@@ -28,7 +28,9 @@ all and not at all; a node without edges is a path of its own; an empty graph gi
 from __future__ import annotations
 
 from functools import cached_property
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ MOST_ROUNDS = 10_000
 SPARE = 4
 #: Rounds of trimming that are tried first: shallow graphs without cycles end in them.
 TRIMS = 4
+#: Edges of a block that one task searches at once.
+BLOCK = 10_000
 #: Node tables over this many rows are joined by hashes: edges then needn't be sorted by name.
 MANY = 500_000
 
@@ -179,10 +183,79 @@ def _parts_of_core(e: DataFrame) -> DataFrame:
     return found
 
 
+def _cycles(edges: list[tuple]) -> list[list]:
+    """The strongly connected parts of a few edges that have more than one node (Tarjan)."""
+    to: dict = {}
+    for a, b in edges:
+        to.setdefault(a, []).append(b)
+    index, low, stack, held, found = {}, {}, [], set(), []
+    for root in to:
+        work = [] if root in index else [(root, iter(to[root]))]
+        while work:
+            node, rest = work[-1]
+            if node not in index:
+                index[node] = low[node] = len(index)
+                stack.append(node)
+                held.add(node)
+            for x in rest:
+                if x not in index:
+                    work.append((x, iter(to.get(x, ()))))
+                    break
+                if x in held:
+                    low[node] = min(low[node], index[x])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    part = [stack.pop()]
+                    while part[-1] != node:
+                        part.append(stack.pop())
+                    held.difference_update(part)
+                    if len(part) > 1:
+                        found.append(part)
+    return found
+
+
+def _parts_of_blocks(edges: DataFrame) -> DataFrame:
+    """(id, part) of nodes on cycles; a task holds the edges of one block at a time."""
+    kind = dict(edges.dtypes)["src"]
+
+    def search(batches):
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        ids, parts = [], []
+        for _, block in groupby(rows, lambda r: r[0]):
+            for nodes in _cycles([r[1:] for r in block]):
+                ids += nodes
+                parts += [min(nodes)] * len(nodes)
+            if len(ids) > BLOCK:
+                yield pa.RecordBatch.from_pydict({"id": ids, "part": parts})
+                ids, parts = [], []
+        if ids:
+            yield pa.RecordBatch.from_pydict({"id": ids, "part": parts})
+
+    rows = edges.select("block", "src", "dst").repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(search, f"id {kind}, part {kind}")
+
+
 def strong_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, part): the strongly connected part of each node, named by its least one."""
+    """(id, part): the strongly connected part of each node, named by its least one.
+
+    Edges may have a column ``block``: a promise that no node has edges of two blocks.  Then
+    blocks of up to ``BLOCK`` edges are searched in a task each, however many there are; larger
+    ones, and edges without a block, are eliminated together like a graph without blocks."""
     own = nodes.select("id").where("id IS NOT NULL").distinct()
-    return _parts(own, materialise(clean_edges(own, edges), "clean"))
+    if "block" not in edges.columns:
+        return _parts(own, materialise(clean_edges(own, edges), "clean"))
+    known = lambda c: own.select(F.col("id").alias(c))
+    clean = edges.select("block", "src", "dst").where("src <> dst").distinct()
+    clean = materialise(clean.join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi").select("block", "src", "dst"), "clean")
+    large = materialise(clean.groupBy("block").count().where(f"block IS NULL OR count > {BLOCK}").select("block"), "large")
+    found = _parts_of_blocks(clean.join(large, "block", "left_anti").where("block IS NOT NULL"))
+    if not large.isEmpty():
+        rest = materialise(clean.join(large, clean["block"].eqNullSafe(large["block"]), "left_semi").select("src", "dst").distinct(), "clean")
+        found = found.unionByName(_parts(rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), rest))
+    return own.join(found, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
 
 
 def _parts(own: DataFrame, clean: DataFrame) -> DataFrame:

@@ -117,8 +117,8 @@ def strong_parts(spark, sf_dir):
     """Each user's artifacts by the steps that lead from one to another and back."""
     own = F.concat_ws(":", F.col("user_id").cast("string"), "props")
     w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select(own.alias("id"), F.lead(own).over(w).alias("dst"), "value")
-    return path_counts.strong_parts(rows.select("id"), rows.where("dst IS NOT NULL AND value > 15").select(F.col("id").alias("src"), "dst"))
+    rows = table(spark, sf_dir, "events").select(own.alias("id"), F.lead(own).over(w).alias("dst"), "value", F.col("user_id").alias("block"))
+    return path_counts.strong_parts(rows.select("id"), rows.where("dst IS NOT NULL AND value > 15").select("block", F.col("id").alias("src"), "dst"))
 
 
 _SUFFIXED = f"WITH {_DAG_PATHS}, x AS (SELECT path FROM m UNION ALL SELECT list_slice(path, 2, len(path)) FROM m WHERE len(path) > 1)"

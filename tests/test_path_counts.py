@@ -103,3 +103,22 @@ def test_big_tables_are_joined_by_hashes(spark, monkeypatch):
     monkeypatch.setattr(path_counts, "MANY", 0)
     n, e = frames(spark, "abcdef", [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f")])
     assert {tuple(r) for r in path_counts.strong_parts(n, e).collect()} == {("a", "a"), ("b", "b"), ("c", "b"), ("d", "d"), ("e", "d"), ("f", "f")}
+
+
+def test_blocks_are_searched_on_their_own(spark, monkeypatch):
+    """Small blocks in tasks; a large one, and edges without a block, by elimination."""
+    rng = random.Random(12)
+    edges = [(b, f"{b}{rng.randrange(9)}", f"{b}{rng.randrange(9)}") for b in "pqr" for _ in range(13)] + [("z", "z1", "z2"), ("z", "z2", "z3"), ("z", "z3", "z1"), ("z", "z3", "gone")]
+    nodes = sorted({x for e in edges for x in e[1:]} - {"gone"}) + ["alone"]
+    to = {n: reach([(a, b) for _, a, b in edges if b in nodes], n) for n in nodes}
+    expect = {n: min(m for m in to[n] if n in to[m]) for n in nodes}
+    n, _ = frames(spark, nodes, [("a", "b")])
+    eliminate = path_counts._eliminate
+    monkeypatch.setattr(path_counts, "_eliminate", None)
+    e = spark.createDataFrame(edges, "block string, src string, dst string")
+    assert {r.id: r.part for r in path_counts.strong_parts(n, e).collect()} == expect
+    monkeypatch.setattr(path_counts, "_eliminate", eliminate)
+    monkeypatch.setattr(path_counts, "BLOCK", 5)
+    e = spark.createDataFrame([(b if b != "r" else None, s, d) for b, s, d in edges if b > "q"], "block string, src string, dst string")
+    got = {r.id: r.part for r in path_counts.strong_parts(n, e).collect()}
+    assert {k: v for k, v in got.items() if k[0] in "rz"} == {k: v for k, v in expect.items() if k[0] in "rz"}
