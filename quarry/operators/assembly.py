@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import label_key
 from quarry.operators.components import connected_components
 from quarry.operators.evidence import first_by
+from quarry.runtime import dealt, materialise
 
 
 def resolve_services(refs: DataFrame, services: DataFrame) -> DataFrame:
@@ -113,8 +114,12 @@ def weigh(neighbourhood: DataFrame) -> DataFrame:
 def insert_steps(steps: DataFrame) -> DataFrame:
     """Steps in order, where some are placed before or after others.
     steps: story, step, ord, anchor, place ('before' or 'after'; null: at ord)."""
+    steps = materialise(steps, "steps")
+    n = steps.count()
     base = steps.select("story", F.col("step").alias("anchor"), F.col("ord").alias("at"))
-    put = steps.join(base, ["story", "anchor"], "left")
+    # Only steps that name an anchor look for it.
+    tied = dealt(steps.where("anchor IS NOT NULL"), n, "story", "anchor").join(dealt(base, n, "story", "anchor"), ["story", "anchor"], "left")
+    put = tied.unionByName(steps.where("anchor IS NULL").withColumn("at", F.lit(None).cast(dict(base.dtypes)["at"])))
     key = F.when(F.col("at").isNull() | F.col("place").isNull(), F.col("ord").cast("double")).when(F.col("place") == "before", F.col("at") - 0.5).otherwise(F.col("at") + 0.5)
     w = Window.partitionBy("story").orderBy("key", "ord")
-    return put.withColumn("key", key).select("story", "step", F.row_number().over(w).alias("position"))
+    return dealt(put.select("story", "step", "ord", key.alias("key")), n, "story").select("story", "step", F.row_number().over(w).alias("position"))

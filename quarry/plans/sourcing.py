@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import arrays
 from quarry.operators import assembly, extract, graph, incremental, knowledge, projections, ranking
 from quarry.plans.registry import query
-from quarry.runtime import positions, scratch_path, table
+from quarry.runtime import dealt, materialise, positions, scratch_path, table
 from quarry.sources import files
 
 
@@ -419,9 +419,14 @@ def placed_steps(spark, sf_dir):
 
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     none = F.lit(None)
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("story"), n.alias("step")).select("story", "step", F.col("step").alias("ord"), none.cast("int").alias("anchor"), none.cast("string").alias("place"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    size = rows.count()
+    lines = materialise(dealt(rows, size, "l_orderkey").select(F.col("l_orderkey").alias("story"), n.alias("step")), "lines")
+    # Each story has one first line.
+    stories = dealt(lines.where("step = 1").select("story"), size, "story")
     extra = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("story"), F.lit(100).alias("step"), F.lit(100).alias("ord"), F.lit(1).alias("anchor"), F.when(F.col("o_orderstatus") == "F", "before").otherwise("after").alias("place"))
-    return assembly.insert_steps(lines.unionByName(extra.join(lines.select("story").distinct(), "story", "left_semi")))
+    lines = lines.select("story", "step", F.col("step").alias("ord"), none.cast("int").alias("anchor"), none.cast("string").alias("place"))
+    return assembly.insert_steps(lines.unionByName(dealt(extra, size, "story").join(stories, "story", "left_semi")))
 
 
 @query("""SELECT DISTINCT o_custkey AS start, o_custkey AS src, l_partkey AS dst, CASE l_returnflag WHEN 'N' THEN 'next_in_source' ELSE 'calls' END AS relation, CASE l_returnflag WHEN 'N' THEN 0.2 ELSE 1.0 END AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey <> o_custkey""")

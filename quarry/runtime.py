@@ -48,6 +48,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that a task sorts or groups where ``dealt`` deals them.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """``df`` dealt by ``keys`` over a number of tasks in proportion to ``rows``, which adaptive
+    execution doesn't merge: what a task holds stays the same, however large the input."""
+    return df.repartition(1 + rows // TASK_ROWS, *keys)
+
+
 def positions(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     """``df`` with ``name``: each row's place, from 0 and without gaps, in an order of all rows.
 

@@ -91,3 +91,15 @@ def test_samples_are_cut_before_they_are_sorted(spark):
     assert row.samples == sorted({v for v in values if v}, key=str.encode)[:20] and row.distinct == 21 and row.non_null == 280
     # A task's rows for the window are the few it keeps.
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_are_dealt_by_their_number(spark, monkeypatch):
+    from quarry import runtime
+
+    monkeypatch.setattr(runtime, "TASK_ROWS", 20)
+    rows = [(s, k, k, None, None) for s in range(30) for k in (1, 2)] + [(s, 9, 9, 1 + s % 2, ("before", "after", None)[s % 3]) for s in range(30)] + [(3, 8, 0, 7, "before")]
+    got = assembly.insert_steps(spark.createDataFrame(rows, "story int, step int, ord int, anchor int, place string"))
+    # Merging of small tasks must not make them grow with the input.
+    assert got.rdd.getNumPartitions() == 1 + len(rows) // 20
+    order = {s: [r.step for r in sorted(got.collect(), key=lambda r: r.position) if r.story == s] for s in range(4)}
+    assert order == {0: [9, 1, 2], 1: [1, 2, 9], 2: [1, 2, 9], 3: [8, 1, 9, 2]}
