@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import reconciling, scouting
 from quarry.plans.registry import query
-from quarry.runtime import materialise, scratch_path, table
+from quarry.runtime import dealt, materialise, scratch_path, table
 
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 
@@ -34,12 +34,14 @@ def reconciliation_passes(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("schema"))
     candidates = c.where("c_acctbal > -500").select("name", F.col("c_mktsegment").alias("schema"), F.lit(2).alias("score"))
     candidates = candidates.unionByName(c.join(F.broadcast(nation), "c_nationkey").select("name", "schema", F.lit(1).alias("score")))
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("c_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("context"))
+    every = table(spark, sf_dir, "orders")
+    orders = every.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("c_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("context"))
+    by_customer = lambda df: dealt(df, every.count(), "c_custkey", least=spark.sparkContext.defaultParallelism)
     since = F.when(F.col("c_acctbal") > 6000, 1).when(F.col("c_acctbal") > 3000, 2).otherwise(3)
     said = c.where("c_acctbal < 8500").select("name", F.col("c_mktsegment").alias("schema"), since.alias("since"))
     said = said.unionByName(c.where("c_acctbal > 9000").select("name", F.lit("FURNITURE").alias("schema"), F.lit(1).alias("since")))
     got = reconciling.reconcile(
-        c.select("name", F.col("c_custkey").alias("ord")), candidates, orders.join(c, "c_custkey").select("name", "context"),
+        c.select("name", F.col("c_custkey").alias("ord")), candidates, by_customer(orders).join(by_customer(c.select("c_custkey", "name")), "c_custkey").select("name", "context"),
         lambda offered, step: said.where(F.col("since") <= step).select("name", "schema"), most=None,
     )
     rows = "kind string, name string, schema string, step int, offered long, mapped long"

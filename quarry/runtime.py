@@ -52,10 +52,11 @@ def discard(*tables: DataFrame) -> None:
 TASK_ROWS = 500_000
 
 
-def dealt(df: DataFrame, rows: int, *keys) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *keys, least: int = 1) -> DataFrame:
     """``df`` dealt by ``keys`` over a number of tasks in proportion to ``rows``, which adaptive
-    execution doesn't merge: what a task holds stays the same, however large the input."""
-    return df.repartition(1 + rows // TASK_ROWS, *keys)
+    execution doesn't merge: what a task holds stays the same, however large the input.
+    There are ``least`` tasks at least."""
+    return df.repartition(max(least, 1 + rows // TASK_ROWS), *keys)
 
 
 def positions(df: DataFrame, order: list, name: str = "pos") -> DataFrame:

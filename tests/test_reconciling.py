@@ -84,6 +84,49 @@ def test_names_without_new_evidence_are_not_offered_again(spark):
     assert none.mappings.count() == 0 and none.runs == []
 
 
+def joined_rows(spark, after=-1):
+    """(last execution, most rows that a join put out in those after ``after``)."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran, most = store.executionsList(), 0
+    ids = [ran.apply(k).executionId() for k in range(ran.size())]
+    for i in (i for i in ids if i > after):
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(k) for k in range(metrics.size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return max(ids, default=-1), most
+
+
+def test_no_name_is_joined_with_every_schema_of_its_contexts(spark):
+    """Names times the schemas of a context that they share was what a task held."""
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    names = [f"n{k}" for k in range(400)]
+    said = make([(f"n{k}", f"S{k}") for k in range(40)], "name string, schema string")
+    began, _ = joined_rows(spark)
+    got = reconciling.reconcile(make([(n, k) for k, n in enumerate(names)], "name string, ord int"), make([(n, "S" + n[1:], 1) for n in names], "name string, schema string, score int"), make([(n, "day") for n in names], "name string, context string"), lambda offered, step: said, most=None)
+    assert got.runs == [(1, 400, 40), (2, 360, 0)] and got.mappings.count() == 40
+    assert 0 < joined_rows(spark, began)[1] <= 400
+
+
+def test_sums_that_grow_by_passes_are_those_of_all_mappings_at_once(spark):
+    """A name's fingerprint doesn't tell in which passes its contexts gained their schemas."""
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    names = make([(n, 1) for n in "abcde"], "name string, ord int")
+    candidates = make([(n, s, 1) for n in "abcde" for s in "ST"], "name string, schema string, score int")
+    contexts = make([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("c", "x"), ("d", "y"), ("d", "z"), ("e", "z"), ("e", "z"), ("e", None)], "name string, context string")
+    said = make([("a", "S", 1), ("b", "S", 2), ("b", "T", 2)], "name string, schema string, since int")
+    judge = lambda offered, step: said.where(F.col("since") <= step).select("name", "schema")
+    got = reconciling.reconcile(names, candidates, contexts, judge, most=None)
+    assert got.runs == [(1, 5, 1), (2, 2, 2), (3, 2, 0)]
+    empty = reconciling.Reconciled(got.mappings, got.ledger.limit(0), [])
+    once = reconciling.reconcile(names, candidates, contexts, judge, before=empty, passes=1, most=None)
+    ledger = {r.name: r.fingerprint for r in got.ledger.collect()}
+    assert {r.name: r.fingerprint for r in once.ledger.collect()} == {n: ledger[n] for n in "cde"}
+
+
 def test_history_is_kept_short(spark):
     runs = spark.createDataFrame([("r", k, 1, 0) for k in range(100)] + [("q", 1, 1, 1)], "repo string, step int, offered int, mapped int")
     got = reconciling.run_history(runs).collect()
